@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import mixing
-from lectern.llm.common import documents
+from lectern.llm import fingerprint, mixing, quality, toxicity
+from lectern.llm.common import documents, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -18,6 +18,26 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by the compiled rules."""
+    docs = documents(spark, sf_dir)
+    return quality.classify(docs, quality.fit(docs, labels(spark, sf_dir)))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = documents(spark, sf_dir)
+    return toxicity.classify(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+
+
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digests of every document and of its edited text."""
+    return fingerprint.edited_fingerprints(documents(spark, sf_dir))
+
+
 @query
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""

@@ -31,6 +31,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_PUNCT = np.zeros(256, dtype=bool)
+_PUNCT[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"]] = True
 _LOWER_BYTE = _BYTE[_LOWER]
 _pow: dict[str, np.ndarray] = {}
 
@@ -101,9 +103,23 @@ class Words:
         total = np.empty(n + 1, dtype=np.uint64)
         total[0] = 0
         np.cumsum((_LOWER_BYTE if lower else _BYTE)[data] * up[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
+        self._total, self._down = total, down
+        self.hash = self.spans(self.start, self.end)
         self.first = np.searchsorted(self.start, offsets).astype(np.int64)
 
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges, equal for equal (lower-cased) bytes."""
+        return mix((self._total[end] - self._total[start]) * self._down[start])
+
+    def bare(self) -> np.ndarray:
+        """Word hashes without punctuation at either end, up to three bytes a
+        side; a word of punctuation alone keeps one byte."""
+        start, end = self.start.copy(), self.end.copy()
+        for _ in range(3):
+            end -= _PUNCT[self.data[end - 1]] & (end - start > 1)
+            start += _PUNCT[self.data[start]] & (end - start > 1)
+        return self.spans(start, end) if len(start) else self.hash
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
