@@ -118,8 +118,16 @@ class Words:
         for _ in range(3):
             end -= _PUNCT[self.data[end - 1]] & (end - start > 1)
             start += _PUNCT[self.data[start]] & (end - start > 1)
+        self.bare_start, self.bare_end = start, end
         return self.spans(start, end) if len(start) else self.hash
 
+    def stems(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, document) of the first ``size`` bytes of every word whose
+        bare form is longer; after bare()."""
+        at = np.flatnonzero(self.bare_end - self.bare_start > size)
+        start = self.bare_start[at]
+        return self.spans(start, start + size), self.docs()[at]
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
