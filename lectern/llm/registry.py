@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import fingerprint, mixing, packing, quality, toxicity
+from lectern.llm import fingerprint, jaccard, mixing, packing, quality, toxicity
 from lectern.llm.common import documents, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.fit(docs, labels(spark, sf_dir)))
 
 
+@query
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with 5-word shingle Jaccard of 0.75 or more."""
+    return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
 @query
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical digests of every document and of its edited text."""
