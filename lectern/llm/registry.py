@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import fingerprint, jaccard, mixing, packing, quality, toxicity
+from lectern.llm import chunks, fingerprint, jaccard, mixing, packing, quality, toxicity
 from lectern.llm.common import documents, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+@query
+def op6_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of documents that repeat another document's passage."""
+    return chunks.repeats(documents(spark, sf_dir))
+
+
 @query
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
