@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import chunks, fingerprint, forest, jaccard, mixing, packing, quality, toxicity
+from lectern.llm import chunks, fingerprint, forest, jaccard, maxent, mixing, packing, quality, toxicity
 from lectern.llm.common import documents, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,12 @@ def op6_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeats(documents(spark, sf_dir))
 
 
+@query
+def op7_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every document."""
+    return maxent.score_documents(documents(spark, sf_dir))
+
+
 @query
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest vectors of every fiftieth vector."""
