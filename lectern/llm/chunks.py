@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import store
 from lectern.llm import textnum as tn
-from lectern.llm.common import parts
+from lectern.llm.common import parts, small
 
 #: Bits of the gear hash that are zero at a boundary, on average one in 16.
 MASK_BITS, WINDOW = 4, 16
@@ -227,9 +227,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             arrays = [pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    joined = docs.join(per.filter("kinds = 1").select("span_id", F.col("spans").alias("lectern_spans")), F.col("doc_id") == F.col("span_id"), "left").drop("span_id")
-    untouched, touched = joined.filter(F.col("lectern_spans").isNull()).drop("lectern_spans"), joined.filter(F.col("lectern_spans").isNotNull())
-    out = touched.select(*columns, "lectern_spans").mapInArrow(run, docs.schema)
+    per = small(store.table(per.filter("kinds = 1").select("span_id", F.col("spans").alias("lectern_spans")), "cuts"))
+    same = F.col("doc_id") == F.col("span_id")
+    untouched = docs.join(per, same, "left_anti")
+    out = docs.join(per, same).select(*columns, "lectern_spans").mapInArrow(run, docs.schema)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return untouched.select(*columns).union(out.select(*columns))
+    return untouched.union(out.select(*columns))

@@ -28,3 +28,13 @@ def held_out(doc_id: str | Column, k: int, remainder: int) -> Column:
 def parts(df: DataFrame, least: int = 12) -> int:
     """Shuffle partitions to deal packed arrays to: the session's number."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Rows of (id, small values) up to which a side of a join is broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A table to be joined with whole texts: broadcast where its counted rows
+    are within the limit, else left to a shuffled join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -26,6 +26,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm import store
+from lectern.llm.common import small
+
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_COPIES = 3
 NEWTON_STEPS = 60
@@ -108,3 +111,13 @@ def balance(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     bucket = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("rows") / BUCKET_ROWS).cast("long"))
     schema = "doc_id long, size long, source_size long, target double, rate double, taken long"
     return rated.withColumn("bucket", bucket).groupBy("source", "bucket").applyInPandas(lambda pdf: _diffuse(pdf), schema)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """The documents, with their columns, each as often as the mix takes it.
+    Rows with one id and one size get the same number of copies."""
+    got = balance(docs, weights).filter("taken > 0").select(F.col("doc_id").alias("lectern_id"), F.col("size").alias("lectern_size"), (F.col("taken") / F.col("size")).cast("int").alias("lectern_copies"))
+    copies = small(store.table(got.dropDuplicates(["lectern_id", "lectern_size"]), "copies"))
+    sized = docs.withColumn("lectern_words", word_count("text"))
+    both = sized.join(copies, F.col("doc_id").eqNullSafe(F.col("lectern_id")) & (F.col("lectern_words") == F.col("lectern_size")))
+    return both.withColumn("lectern_copy", F.explode(F.array_repeat(F.lit(0), F.col("lectern_copies")))).select(*docs.columns)

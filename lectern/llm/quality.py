@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm import textnum as tn
 from lectern.llm.common import fold, held_out
@@ -98,16 +99,25 @@ def measure(column: pa.Array) -> np.ndarray:
     return out
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and one double column for each of STATS, one row per document."""
+#: Of statistics beside other columns.
+PREFIX = "lectern_stat_"
+
+
+def statistics(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """doc_id and one double column for each of STATS, one row per document;
+    with ``keep`` all columns of docs and the statistics under PREFIX."""
+    if not keep:
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = list(docs.columns) if keep else ["doc_id"]
+    prefix = PREFIX if keep else ""
 
     def run(batches):
         for piece in tn.pieces(batches):
             got = measure(piece.column("text"))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *[pa.array(got[:, i]) for i in range(len(STATS))]], ["doc_id", *STATS])
+            yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in names], *[pa.array(got[:, i]) for i in range(len(STATS))]], [*names, *[prefix + s for s in STATS]])
 
-    schema = "doc_id long, " + ", ".join(f"{s} double" for s in STATS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(prefix + s, T.DoubleType()) for s in STATS])
+    return docs.mapInArrow(run, schema)
 
 
 @dataclass
@@ -117,13 +127,13 @@ class RuleModel:
     intercept: float = 0.0
     rules: list[tuple[list[tuple[str, str, float]], float]] = field(default_factory=list)
 
-    def score(self) -> Column:
+    def score(self, prefix: str = "") -> Column:
         """Probability of label 1, in the JVM."""
         total = F.lit(float(self.intercept))
         for rule, weight in self.rules:
             hit = None
             for name, sign, value in rule:
-                test = F.col(name) <= float(value) if sign == "<=" else F.col(name) > float(value)
+                test = F.col(prefix + name) <= float(value) if sign == "<=" else F.col(prefix + name) > float(value)
                 hit = test if hit is None else hit & test
             total = total + F.when(hit, F.lit(float(weight))).otherwise(F.lit(0.0))
         return 1.0 / (1.0 + F.exp(-total))
@@ -213,3 +223,8 @@ def classify(docs: DataFrame, model: RuleModel, threshold: float = 0.7, folds: i
     """doc_id, held_out, score, predicted; then the statistics."""
     got = statistics(docs).withColumn("score", model.score())
     return got.select("doc_id", held_out("doc_id", folds, test_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *STATS)
+
+
+def keep_good(docs: DataFrame, model: RuleModel, threshold: float = 0.7) -> DataFrame:
+    """The documents, with their columns, whose score reaches the threshold."""
+    return statistics(docs, keep=True).filter(model.score(PREFIX) >= threshold).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import chunks, fingerprint, forest, jaccard, maxent, mixing, packing, quality, toxicity
+from lectern.llm import chunks, fingerprint, forest, jaccard, licenses, maxent, mixing, packing, quality, toxicity
 from lectern.llm.common import documents, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,12 @@ def op7_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score_documents(documents(spark, sf_dir))
 
 
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License texts in every document."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
 @query
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest vectors of every fiftieth vector."""
