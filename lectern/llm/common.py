@@ -25,9 +25,23 @@ def held_out(doc_id: str | Column, k: int, remainder: int) -> Column:
     return F.coalesce(fold(doc_id, k) == remainder, F.lit(False))
 
 
+#: Bytes of an Arrow batch between the JVM and its workers.
+BATCH_BYTES = 8 << 20
+
+
+def frugal(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches held to BATCH_BYTES: the buffers
+    of both sides count against an executor's memory beyond its heap."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = str(conf.get(key, "67108864b")).lower().rstrip("b")
+    if not found.isdigit() or int(found) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def parts(df: DataFrame, least: int = 12) -> int:
     """Shuffle partitions to deal packed arrays to: the session's number."""
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, int(frugal(df).sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 #: Rows of (id, small values) up to which a side of a join is broadcast.

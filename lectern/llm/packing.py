@@ -31,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textnum as tn
+from lectern.llm.common import frugal
 
 LENGTH = 2048
 END = 1
 #: Segments of one sequence.
 MAX_SEGMENTS = 64
 #: Words that a worker keeps the ids of, by hash; then it starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 700_000
 
 
 @dataclass(frozen=True)
@@ -324,4 +325,4 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit
         packer.end()
         yield packer.take()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _DDL)
+    return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _DDL)

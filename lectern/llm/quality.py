@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import textnum as tn
-from lectern.llm.common import fold, held_out
+from lectern.llm.common import fold, frugal, held_out
 
 #: Labelled rows that the fit uses, taken in the order of a hash of the id.
 MAX_LABELLED = 20_000
@@ -106,6 +106,7 @@ PREFIX = "lectern_stat_"
 def statistics(docs: DataFrame, keep: bool = False) -> DataFrame:
     """doc_id and one double column for each of STATS, one row per document;
     with ``keep`` all columns of docs and the statistics under PREFIX."""
+    docs = frugal(docs)
     if not keep:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     names = list(docs.columns) if keep else ["doc_id"]

@@ -9,6 +9,9 @@ values, taken from one running sum over the buffer, then mixed.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -40,7 +43,7 @@ _pow: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``BASE**i`` and its inverses for i < n, mod 2**64; grown on demand."""
     if not _pow or len(_pow["up"]) < n:
-        size = 1 << max(16, int(n).bit_length())
+        size = -(-n // (1 << 18)) << 18
         for name, base in (("up", _BASE), ("down", _BASE_INV)):
             out = np.empty(size, dtype=np.uint64)
             out[0] = 1
@@ -165,19 +168,33 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), first
 
 
-def pieces(batches, budget: int = 4 << 20):
+#: Text bytes of one slice; the arrays of a slice are some fifty times that.
+PIECE = 2 << 20
+
+
+def give_back() -> None:
+    """Return freed memory to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def pieces(batches, budget: int = PIECE):
     """Slice record batches so that each has about ``budget`` text bytes; a
     single longer text comes whole in a slice of its own."""
-    for batch in batches:
-        sizes = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        at, total = 0, 0
-        for i, s in enumerate(sizes.tolist()):
-            if i > at and total + s > budget:
-                yield batch.slice(at, i - at)
-                at, total = i, 0
-            total += s
-        if at < len(sizes):
-            yield batch.slice(at)
+    try:
+        for batch in batches:
+            sizes = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at, total = 0, 0
+            for i, s in enumerate(sizes.tolist()):
+                if i > at and total + s > budget:
+                    yield batch.slice(at, i - at)
+                    at, total = i, 0
+                total += s
+            if at < len(sizes):
+                yield batch.slice(at)
+    finally:
+        give_back()
 
 
 import pyarrow.compute  # noqa: E402,F401  (binds pa.compute)

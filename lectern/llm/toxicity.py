@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textnum as tn
-from lectern.llm.common import fold, held_out
+from lectern.llm.common import fold, frugal, held_out
 
 #: Labelled rows that the fit uses, taken in the order of a hash of the id.
 MAX_LABELLED = 8_000
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, folds: in
             own = (tagged & ((1 << BITS) - 1)).astype("<u4")
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("label"), pa.array([own[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["doc_id", "label", "features"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = own.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, label int, features binary").toArrow()
     order = pa.compute.sort_indices(got, [("doc_id", "ascending"), ("features", "ascending")]).to_numpy()
     rows_of = [np.frombuffer(got["features"][int(i)].as_py(), "<u4").astype(np.int64) for i in order]
@@ -120,6 +120,6 @@ def classify(docs: DataFrame, model: SparseWeights, threshold: float = 0.3, fold
             total = np.bincount(tagged >> BITS, dense[tagged & ((1 << BITS) - 1)], minlength=len(piece)) + bias
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], ["doc_id", "score"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = own.mapInArrow(run, "doc_id long, score double")
     return got.select("doc_id", held_out("doc_id", folds, test_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
