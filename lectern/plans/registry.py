@@ -5,10 +5,278 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.functions import numbers, speech, text, wer
+from lectern.functions.html import html_text
+from lectern.operators import chapters, delivery, engines, narration, progress
+from lectern.plans import fixtures
+from lectern.plans.oracles import ORACLE_SQL  # noqa: F401
+from lectern.sources import audio
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.view(spark, sf_dir, fixtures.NARRATIVE)
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as chapters of sentences."""
+    own = fixtures.view(spark, sf_dir, fixtures.DIALOGUE)
+    return own.select(F.col("conv_id").cast("string").alias("book_id"), F.lit(0).alias("chapter_index"), F.col("turn").cast("int").alias("sentence_index"), "text", (F.col("turn") % 3 == 2).alias("is_paragraph_end"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
+    """Documents to narration chunks."""
+    return narration.chunks(narration.assign_chunks(narration.segment(text.normalize(narrative(spark, sf_dir)))))
+
+
+@query
+def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fixtures.view(spark, sf_dir, "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders")
+    words = own.select("o_orderkey", numbers.cardinal(F.col("n")).alias("cardinal"), numbers.cardinal(F.col("o_orderkey")).alias("key_words"), numbers.year(F.col("o_orderkey") % 1100 + 1000).alias("year_words"))
+    return words.withColumn("ordinal", numbers.ordinal(F.col("key_words"))).drop("key_words")
+
+
+@query
+def figures_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.normalize(fixtures.view(spark, sf_dir, fixtures.FIGURES))
+
+
+@query
+def marks_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fixtures.view(spark, sf_dir, fixtures.MARKED)
+    return text.normalize(own, numbers=False, abbreviations=False)
+
+
+@query
+def documents_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.normalize(narrative(spark, sf_dir).select("book_id", "text"))
+
+
+@query
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return narration.paragraphs(narrative(spark, sf_dir))
+
+
+@query
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return narration.segment(narrative(spark, sf_dir))
+
+
+@query
+def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return narration.chunks(narration.assign_chunks(narration.segment(narrative(spark, sf_dir))))
+
+
+@query
+def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speech.detect_dialogue(turns(spark, sf_dir))
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speech.tag_emotions(speech.detect_dialogue(turns(spark, sf_dir)))
+
+
+@query
+def emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagged(spark, sf_dir).withColumn("ambiguous", speech.needs_refinement(tagged(spark, sf_dir))).select("book_id", "sentence_index", "emotion", "level", "ambiguous")
+
+
+@query
+def guarded_emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = narration.guard(tagged(spark, sf_dir))
+    return own.select("book_id", "sentence_index", "emotion", "intensity", speech.pause_ms(F.col("is_paragraph_end")).alias("pause_after_ms"))
+
+
+@query
+def annotation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return narration.annotation_metrics(narration.guard(tagged(spark, sf_dir))).drop("chapter_index")
+
+
+@query
+def delivery_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = narration.guard(tagged(spark, sf_dir))
+    pause = speech.pause_ms(F.col("is_paragraph_end"))
+    return own.select(
+        "book_id", "sentence_index", speech.speed(F.col("emotion"), F.col("intensity")).alias("speed"), speech.pause_samples(24_000, pause, F.col("is_paragraph_end")).alias("pause_samples"),
+        speech.fallback_seconds(F.col("text")).alias("seconds"), speech.tagged_text(F.col("emotion"), F.col("intensity"), F.col("text")).alias("tagged"),
+    )
+
+
+@query
+def refinement_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tagged(spark, sf_dir)
+    item = "'[{\"index\": ' || CAST(turn AS STRING) || ', \"emotion\": \"' || CASE CAST(conv_id % 4 AS INT) WHEN 0 THEN 'Sad' WHEN 1 THEN 'odd' WHEN 2 THEN 'neutral' ELSE 'angry' END || '\", \"intensity\": ' || CASE WHEN turn % 2 = 0 THEN '0.9' ELSE '0.05' END || '}]'"
+    replies = fixtures.view(spark, sf_dir, f"SELECT CAST(conv_id AS STRING) AS book_id, 0 AS chapter_index, {item} AS reply FROM conversations")
+    return narration.refine(own, engines.refinement_replies(replies)).select("book_id", "sentence_index", "emotion", "level")
+
+
+@query
+def refinement_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tagged(spark, sf_dir).withColumn("book_id", F.pmod(F.col("book_id").cast("long"), F.lit(7)).cast("string"))
+    own = own.withColumn("sentence_index", F.row_number().over(narration.Window.partitionBy("book_id").orderBy("text", "sentence_index")))
+    return engines.refinement_requests(own, F.col("contains_dialogue")).select("book_id", "batch_id", F.size(F.from_json("request", "sentences array<struct<index:int>>")["sentences"]).alias("n"))
+
+
+BOOK_TEXT = """
+SELECT source AS book_id, source AS title,
+  array_join(transform(sort_array(collect_list(struct(doc_id, text))), x -> 'Chapter ' || CAST(x.doc_id AS STRING) || ': Doc ' || CAST(x.doc_id AS STRING) || chr(10) || chr(10) || x.text), chr(10)) AS text
+FROM documents GROUP BY source
+"""
+
+
+@query
+def text_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chapters.text_chapters(fixtures.view(spark, sf_dir, BOOK_TEXT))
+
+
+@query
+def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = "CASE CAST(p_partkey % 9 AS INT) WHEN 0 THEN 'CHAPTER ' || p_partkey WHEN 1 THEN 'chapter iv - ' || p_name WHEN 2 THEN 'part ' || lower(p_brand) WHEN 3 THEN 'XIV.' WHEN 4 THEN upper(p_name) WHEN 5 THEN 'Chapter ' || p_partkey || ': ' || p_name WHEN 6 THEN p_name WHEN 7 THEN 'part two' ELSE '.' END"
+    own = fixtures.view(spark, sf_dir, f"SELECT p_partkey, {line} AS line FROM part")
+    return own.select("p_partkey", chapters.heading_title(text.strip(F.col("line")), F.col("p_partkey") % 2 == 0).alias("title"))
+
+
+ITEMS = "SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, 'text/c' || CAST(doc_id AS STRING) || '.xhtml' AS name, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE text END AS text FROM documents"
+TOC = "SELECT source AS book_id, doc_id AS pos, CASE WHEN doc_id % 2 = 0 THEN 'c' || CAST(doc_id AS STRING) || '.xhtml' ELSE 'text/c' || CAST(doc_id AS STRING) || '.xhtml' END AS href, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Doc ' || CAST(doc_id AS STRING) END AS title FROM documents WHERE doc_id % 3 <> 0"
+
+
+@query
+def toc_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chapters.toc_chapters(fixtures.view(spark, sf_dir, TOC), fixtures.view(spark, sf_dir, ITEMS))
+
+
+@query
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", html_text("html").alias("h")).select("page_id", "h.text", "h.heading")
+
+
+@query
+def page_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return chapters.spine_chapters(pages.select((F.col("page_id") % 10).cast("string").alias("book_id"), F.col("page_id").alias("pos"), "html"))
+
+
+@query
+def book_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = fixtures.view(spark, sf_dir, """
+        SELECT CAST(p_size AS STRING) AS book_id, p_partkey AS pos, 'i' || CAST(p_partkey AS STRING) AS item_id,
+          CASE WHEN p_partkey % 13 = 0 THEN 'img/Cover' ELSE 'img/' END || CAST(p_partkey AS STRING) AS name,
+          CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/svg+xml' WHEN 2 THEN 'image/png' ELSE 'text/css' END AS media_type,
+          CASE WHEN p_partkey % 50 = 0 THEN 'cover-image' ELSE '' END AS properties FROM part""")
+    meta = fixtures.view(spark, sf_dir, "SELECT CAST(p_size AS STRING) AS book_id, 'i' || CAST(max(p_partkey) AS STRING) AS cover_id FROM part GROUP BY p_size")
+    return chapters.covers(items, meta)
+
+
+AUDIO = "SELECT CAST(l_suppkey AS STRING) AS book_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS INT) AS chapter_index, 'Part = ' || CAST(l_partkey AS STRING) || '; #' AS title, l_extendedprice / 37.0 AS duration_seconds, 'it''s/' || CAST(l_orderkey AS STRING) || '.wav' AS path FROM lineitem"
+
+
+@query
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delivery.timeline(fixtures.view(spark, sf_dir, AUDIO))
+
+
+@query
+def metadata_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = fixtures.view(spark, sf_dir, "SELECT DISTINCT CAST(l_suppkey AS STRING) AS book_id, 'Book ' || CAST(l_suppkey AS STRING) AS title, 'A=B' AS author, CAST(NULL AS STRING) AS narrator, '1999' AS year FROM lineitem")
+    return delivery.metadata_text(books, delivery.timeline(fixtures.view(spark, sf_dir, AUDIO)))
+
+
+@query
+def concat_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delivery.concat_list(fixtures.view(spark, sf_dir, AUDIO))
+
+
+@query
+def wer_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return own.select("item_id", wer.comparable(F.concat(F.lit("[sigh] "), "text", F.lit(" (aside) it's 'so'"))).alias("text"))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fixtures.view(spark, sf_dir, fixtures.WER_PAIRS)
+    own = pairs.select((F.col("doc_id") % 20).cast("string").alias("book_id"), F.col("doc_id").cast("int").alias("chapter_index"), F.lit("t").alias("title"), F.col("reference").alias("text"), "hyp_sub", "hyp_del")
+    heard = own.select("book_id", "chapter_index", F.when(F.col("chapter_index") % 2 == 0, F.col("hyp_sub")).otherwise(F.col("hyp_del")).alias("transcript"), F.lit(60.0).alias("duration_seconds"))
+    return delivery.validate(own, heard)
+
+
+@query
+def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).select("book_id", "chapter_index", "substitutions", "deletions", "insertions", "hits", "reference_words", "hypothesis_words", "wer", "mer", "wil", "flagged")
+
+
+@query
+def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delivery.summary(_checked(spark, sf_dir)).select("book_id", "aggregate_wer", "total_reference_words", "total_errors", "flagged_chapters", "chapters", wer.quality_label(F.col("aggregate_wer")).alias("quality"))
+
+
+@query
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = fixtures.view(spark, sf_dir, "SELECT DISTINCT CAST(doc_id % 20 AS STRING) AS book_id, 'Book ' || CAST(doc_id % 20 AS STRING) AS title FROM documents")
+    return delivery.report(books, _checked(spark, sf_dir))
+
+
+@query
+def character_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fixtures.view(spark, sf_dir, "SELECT item_id, lower(text) AS reference, lower(replace(text, 'e', 'x')) AS hypothesis FROM benchmark")
+    return wer.word_errors(own).select("item_id", "cer")
+
+
+EVENTS = "SELECT CAST(user_id AS STRING) AS book_id, CAST(event_id % 5 AS INT) AS chapter_index, CAST(event_id % 7 AS INT) AS chunk_index, 'chunk' AS kind, 'k' AS state_key, event_type <> 'click' AS completed, 'a' || CAST(event_id AS STRING) AS audio_path, ts FROM events"
+
+
+@query
+def pending_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = fixtures.view(spark, sf_dir, "SELECT DISTINCT CAST(user_id AS STRING) AS book_id, CAST(event_id % 5 AS INT) AS chapter_index, CAST(event_id % 9 AS INT) AS chunk_index FROM events")
+    return progress.pending_chunks(plan, fixtures.view(spark, sf_dir, EVENTS))
+
+
+@query
+def progress_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = fixtures.view(spark, sf_dir, EVENTS.replace("'chunk' AS kind", "CASE WHEN event_id % 3 = 0 THEN 'chapter' ELSE 'chunk' END AS kind").replace("CAST(event_id % 7 AS INT)", "CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 7 AS INT) END"))
+    totals = fixtures.view(spark, sf_dir, "SELECT CAST(user_id AS STRING) AS book_id, 7 AS total_chapters, 40 AS total_chunks FROM events GROUP BY user_id")
+    return progress.progress(totals, events)
+
+
+@query
+def chapter_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = fixtures.view(spark, sf_dir, "SELECT CAST(l_suppkey AS STRING) AS book_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS INT) AS chapter_index, l_quantity AS seconds FROM lineitem")
+    totals = events.groupBy("book_id").agg(F.count("*").alias("total_chapters"))
+    return progress.eta(events, totals).select("book_id", "chapter_index", F.round("eta_seconds", 6).alias("eta_seconds"))
+
+
+@query
+def title_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fixtures.view(spark, sf_dir, "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name || ': \"' || p_type || '\"?' END AS title FROM part")
+    full = chapters.default_title(F.col("title"), F.col("p_partkey"))
+    return own.select("p_partkey", full.alias("title"), text.safe_file_name(full).alias("file_name"), text.shorten(full).alias("short"), text.escape_metadata(F.concat(full, F.lit("=#;\\"))).alias("escaped"), text.title_case(F.concat(F.lower("title"), F.lit(" o'neil rabbit-hole"))).alias("cased"))
+
+
+@query
+def probe_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fixtures.view(spark, sf_dir, """
+        SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN '{"format": {"duration": "' || CAST(l_quantity AS STRING) || '"}}'
+          ELSE '{"streams": [{"codec_type": "video", "duration": "1"}, {"codec_type": "audio", "duration": "' || CAST(l_quantity AS STRING) || '"}]}' END AS payload,
+          'log {"input_i": "-' || CAST(l_quantity AS STRING) || '", "input_lra": "3.5"} end' AS log FROM lineitem""")
+    stats = audio.loudness_stats(F.col("log"))
+    return own.select("l_orderkey", "l_linenumber", audio.probe_duration(F.col("payload")).alias("seconds"), stats["input_i"].alias("input_i"), stats["input_tp"].alias("input_tp"), stats["input_lra"].alias("input_lra"))
+
+
+@query
+def rendered_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as chapters, rendered by the silent engine and joined."""
+    own = fixtures.view(spark, sf_dir, "SELECT CAST(item_id % 4 AS STRING) AS book_id, CAST(item_id AS INT) AS chapter_index, text FROM benchmark")
+    found = narration.assign_chunks(narration.segment(own))
+    sentence = F.struct("sentence_index", "text", F.lit("neutral").alias("emotion"), F.lit(0.3).alias("intensity"), F.lit(1.0).alias("speed"), F.lit(6000).alias("pause_samples"))
+    plan = found.groupBy(*narration.CHAPTER, "chunk_index").agg(F.sort_array(F.collect_list(sentence)).alias("sentences"))
+    made = engines.synthesize(plan)
+    joined = audio.joined_wav(made.select("book_id", "chapter_index", "chunk_index", "content"), narration.CHAPTER, "chunk_index")
+    return joined.select("book_id", "chapter_index", "duration_seconds", audio.probe("content")["n_samples"].alias("n_samples"))
