@@ -3,8 +3,8 @@
 Templates become sequences of words (case folded, outer punctuation
 stripped).  Of the hashes of their word triples, winnowing keeps the least of
 every WINDOW; those go into an inverted index, sorted by hash.  A document
-position whose triple is in the index votes for a template and a start; votes
-near one another are one candidate.  Around each candidate a banded alignment
+position whose triple is in the index votes for a template and a start; starts
+near one with more votes that matched are the same candidate.  Around each candidate a banded alignment
 of the template with the text counts matched words.  The best candidates that
 do not overlap and cover COVERAGE of their template are reported.
 
@@ -19,6 +19,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Mapping
 
 import numpy as np
@@ -146,12 +147,16 @@ def scan_words(h: np.ndarray, index: Index, triples: np.ndarray | None = None) -
     template, start = index.votes(_triples(h) if triples is None else triples)
     found = []
     for t in np.unique(template):
-        own = np.sort(start[template == t])
-        for group in np.split(own, np.flatnonzero(np.diff(own) > BAND) + 1):
-            values, n = np.unique(group, return_counts=True)
-            matched, a, b = align(index.words[t], h, int(values[np.argmax(n)]))
+        values, n = np.unique(start[template == t], return_counts=True)
+        near, tried = min(BAND, len(index.words[t])), []
+        for v in values[np.lexsort((values, -n))].tolist():
+            at = bisect.bisect(tried, v)
+            if (at and v - tried[at - 1] < near) or (at < len(tried) and tried[at] - v < near):
+                continue  # the same place as one with more votes
+            matched, a, b = align(index.words[t], h, v)
             if matched >= COVERAGE * len(index.words[t]):
                 found.append((int(t), int(matched), int(a), int(b)))
+                tried.insert(at, v)
     kept: list[tuple[int, int, int, int]] = []
     for f in sorted(found, key=lambda f: (-f[1], f[2], index.names[f[0]])):
         if all(f[3] <= k[2] or f[2] >= k[3] for k in kept):
