@@ -63,13 +63,17 @@ def plain_marks(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\.{4,}", "..."), rf"\.[{SPACE}]\.[{SPACE}]\.", "...")
 
 
+#: Any of the abbreviations, so that most texts need one search, not one for each.
+_SOME_ABBREVIATION = "(?:" + "|".join(short for short, _ in TITLES) + r")\.|(?i)\b(?:" + "|".join(pattern for pattern, _ in ABBREVIATIONS) + ")"
+
+
 def spell_abbreviations(text: Column) -> Column:
     out = text
     for short, words in TITLES:
         out = F.regexp_replace(out, rf"{short}\.", words)
     for pattern, words in ABBREVIATIONS:
         out = F.regexp_replace(out, rf"(?i)\b{pattern}", words)
-    return F.when(F.instr(text, ".") > 0, out).otherwise(text)
+    return F.when(F.rlike(text, F.lit(_SOME_ABBREVIATION)), out).otherwise(text)
 
 
 def tidy_paragraphs(text: Column) -> Column:

@@ -13,6 +13,7 @@ from lectern.operators import chapters, delivery, engines, narration, progress
 from lectern.plans import fixtures
 from lectern.plans.oracles import ORACLE_SQL  # noqa: F401
 from lectern.sources import audio
+from lectern.sources.scan import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -23,12 +24,12 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.view(spark, sf_dir, fixtures.NARRATIVE)
+    return spread(fixtures.view(spark, sf_dir, fixtures.NARRATIVE))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as chapters of sentences."""
-    own = fixtures.view(spark, sf_dir, fixtures.DIALOGUE)
+    own = spread(fixtures.view(spark, sf_dir, fixtures.DIALOGUE))
     return own.select(F.col("conv_id").cast("string").alias("book_id"), F.lit(0).alias("chapter_index"), F.col("turn").cast("int").alias("sentence_index"), "text", (F.col("turn") % 3 == 2).alias("is_paragraph_end"))
 
 
@@ -46,7 +47,7 @@ def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def figures_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.normalize(fixtures.view(spark, sf_dir, fixtures.FIGURES))
+    return text.normalize(spread(fixtures.view(spark, sf_dir, fixtures.FIGURES)))
 
 
 @query
@@ -155,13 +156,13 @@ def toc_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return pages.select("page_id", html_text("html").alias("h")).select("page_id", "h.text", "h.heading")
 
 
 @query
 def page_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return chapters.spine_chapters(pages.select((F.col("page_id") % 10).cast("string").alias("book_id"), F.col("page_id").alias("pos"), "html"))
 
 
@@ -202,7 +203,7 @@ def wer_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = fixtures.view(spark, sf_dir, fixtures.WER_PAIRS)
+    pairs = spread(fixtures.view(spark, sf_dir, fixtures.WER_PAIRS))
     own = pairs.select((F.col("doc_id") % 20).cast("string").alias("book_id"), F.col("doc_id").cast("int").alias("chapter_index"), F.lit("t").alias("title"), F.col("reference").alias("text"), "hyp_sub", "hyp_del")
     heard = own.select("book_id", "chapter_index", F.when(F.col("chapter_index") % 2 == 0, F.col("hyp_sub")).otherwise(F.col("hyp_del")).alias("transcript"), F.lit(60.0).alias("duration_seconds"))
     return delivery.validate(own, heard)
