@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,8 @@ from pyspark.sql import types as T
 
 from lectern.functions.numbers import number_passes, replace_each
 
+log = logging.getLogger(__name__)
+
 #: White space as Unicode defines it, for a Java character class.
 SPACE = r"\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
@@ -110,6 +114,28 @@ def sentences_of(paragraph: Column) -> Column:
     return F.filter(back, lambda s: s != "")
 
 
+def segmenter(name: str) -> Callable[[Column], Column]:
+    """Splitter of paragraphs by name: "regex", or "nltk" where that is
+    installed with its models; any other name means "regex", with a warning."""
+    if name == "nltk":
+        try:
+            from nltk.tokenize import sent_tokenize
+
+            sent_tokenize("One. Two.")
+        except (ImportError, LookupError):
+            log.warning("nltk or its models are missing; sentences are split by the regex")
+            return sentences_of
+
+        @F.pandas_udf(T.ArrayType(T.StringType()))
+        def tokenized(paragraphs: pd.Series) -> pd.Series:
+            return paragraphs.map(lambda p: [s.strip() for s in sent_tokenize(p) if s.strip()])
+
+        return tokenized
+    if name != "regex":
+        log.warning("unknown segmenter %r; sentences are split by the regex", name)
+    return sentences_of
+
+
 def title_case(text: Column) -> Column:
     """First letter of every run of letters upper, the others lower case."""
     runs = F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.speech import Rules
-from lectern.functions.text import sentences_of, strip
+from lectern.functions.text import segmenter, sentences_of, strip
 
 CHAPTER = ["book_id", "chapter_index"]
 CHUNK_CHARS = 400
@@ -22,12 +22,19 @@ def paragraphs(chapters: DataFrame) -> DataFrame:
     return chapters.select(*CHAPTER, F.posexplode(own).alias("paragraph_index", "text"))
 
 
-def segment(chapters: DataFrame) -> DataFrame:
+def segment(chapters: DataFrame, method: str = "regex") -> DataFrame:
     """book_id, chapter_index, paragraph_index, sentence_index, text, is_paragraph_end.
 
     Both levels are arrays of the chapter's row, so numbering is a position in
-    the flattened array and nothing is shuffled.
+    the flattened array and nothing is shuffled.  A splitter that is no
+    built-in expression works on one row per paragraph instead.
     """
+    split = segmenter(method)
+    if split is not sentences_of:
+        rows = paragraphs(chapters).withColumn("s", split(F.col("text"))).filter(F.size("s") > 0)
+        rows = rows.select(*CHAPTER, "paragraph_index", F.size("s").alias("n"), F.posexplode("s").alias("pos", "text"))
+        order = Window.partitionBy(*CHAPTER).orderBy("paragraph_index", "pos")
+        return rows.select(*CHAPTER, "paragraph_index", (F.row_number().over(order) - 1).alias("sentence_index"), "text", (F.col("pos") == F.col("n") - 1).alias("is_paragraph_end"))
     own = F.filter(F.transform(F.split("text", "\n\n"), strip), lambda p: p != "")
     nested = F.transform(own, lambda p: sentences_of(p))
     rows = F.flatten(F.transform(nested, lambda s, i: F.transform(s, lambda t, j: F.struct(i.cast("int").alias("paragraph_index"), t.alias("text"), (j == F.size(s) - 1).alias("is_paragraph_end")))))

@@ -42,7 +42,7 @@ def annotate(chapters: DataFrame, settings: Settings = Settings(), client=None)
     """chapters (book_id, chapter_index, text) -> annotated sentences."""
     rules, p = rules_of(settings), settings.processing
     clean = normalize(chapters.select("book_id", "chapter_index", "text"), numbers=p.expand_numbers, abbreviations=p.expand_abbreviations)
-    own = speech.detect_dialogue(narration.segment(clean))
+    own = speech.detect_dialogue(narration.segment(clean, p.segmenter))
     mode = refinement_mode(settings)
     if mode == "off":
         own = speech.plain_delivery(own).withColumn("intensity", F.lit(0.3))

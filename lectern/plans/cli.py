@@ -56,6 +56,8 @@ def forge(spark: SparkSession, args: argparse.Namespace) -> int:
     if spark.read.parquet(f"{settings.output}/chapters").isEmpty():
         raise RuntimeError("no chapter has audio")
     out["metadata"].select("value").write.mode("overwrite").text(f"{settings.output}/metadata", lineSep="\n\n")
+    if settings.validation.enabled:
+        log.warning("no transcriber is installed; run validate with transcripts")
     return 0
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import wer
-from lectern.operators import delivery, engines, progress
+from lectern.operators import container, delivery, engines, narration, progress
 from lectern.plans import book, cli, config
 from lectern.sources import audio, books
 from lectern.streaming import drop
@@ -231,3 +231,23 @@ def test_json_helpers(spark):
     row = spark.createDataFrame([('{"format": {"duration": "2.5"}}', 'x {"input_i": "-20.5"} y'), ('{"streams": [{"codec_type": "audio", "duration": "3"}]}', "none")], "p string, l string").select(audio.probe_duration(F.col("p")), audio.loudness_stats(F.col("l"))["input_i"]).collect()
     assert [tuple(r) for r in row] == [(2.5, -20.5), (3.0, -23.0)]
     assert json.loads(engines.echo_client()('{"sentences": [{"index": 4, "text": "t"}]}'))[0]["index"] == 4
+
+
+def test_container(spark, tmp_path):
+    assert container.assemble_command("l", "m", "o", cover="c.jpg")[-3:] == ["-metadata", "stik=2", "o"]
+    assert "measured_I=-20.0:measured_TP=-2.0" in " ".join(container.loudness_command("a", "b", {"input_i": -20.0, "input_tp": -2.0, "input_lra": 7.0, "input_thresh": -33.0, "target_offset": 0.0}))
+    with pytest.raises(RuntimeError, match="not installed"):
+        container.run(["no-such-tool"])
+    with pytest.raises(RuntimeError, match="failed"):
+        container.run(["false"])
+    with pytest.raises(RuntimeError, match="no chapter"):
+        container.assemble([], "", "", str(tmp_path / "b.m4b"))
+    df, seen = container.observed(spark.range(5))
+    df.collect()
+    assert seen.get["rows"] == 5
+
+
+def test_segmenters(spark, caplog):
+    rows = spark.createDataFrame([("b", 0, "One. Two.")], "book_id string, chapter_index int, text string")
+    assert narration.segment(rows, "other").count() == 2 and "unknown segmenter" in caplog.text
+    assert narration.segment(rows, "nltk").count() == 2
