@@ -174,14 +174,22 @@ def _spans(batches):
         holder = np.full(len(ends) + 1, NO_ID)
         np.minimum.at(holder, at, least)
         np.minimum.at(holder, at + 1, least)
-        mark = mark[: len(ends)]
-        edge = np.flatnonzero(mark & ~(np.append(False, mark[:-1]) & (doc == np.append(-1, doc[:-1]))))
-        stop = np.flatnonzero(mark & ~(np.append(mark[1:], False) & (doc == np.append(doc[1:], -1))))
-        long = ends[stop] - begins[edge] >= RUN
-        edge, stop = edge[long], stop[long]
+        mark, holder = mark[: len(ends)], holder[: len(ends)]
+        follows = np.append(False, mark[:-1] & (doc[1:] == doc[:-1]))
+        first = np.flatnonzero(mark & ~follows)
+        last = np.flatnonzero(mark & ~np.append(follows[1:] & mark[1:], False))
+        long = ends[last] - begins[first] >= RUN
+        inside = np.zeros(len(ends) + 1, np.int64)
+        inside[first[long]] += 1
+        inside[last[long] + 1] -= 1
+        inside = np.cumsum(inside)[:-1] > 0
+        # A run may repeat one document after another: a span for each.
+        same = np.append(False, inside[:-1] & follows[1:] & (holder[1:] == holder[:-1]))
+        edge = np.flatnonzero(inside & ~same)
+        stop = np.flatnonzero(inside & ~np.append(same[1:], False))
         origin = np.concatenate(([0], np.cumsum(counts)))[:-1]
         base = begins[np.minimum(origin[doc[edge]], len(begins) - 1)] if len(edge) else edge
-        kept = [int(holder[a : b + 1].min()) for a, b in zip(edge, stop, strict=True)]
+        kept = holder[edge].tolist()
         own = ids[doc[edge]]
         yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NO_ID), pa.array(begins[edge] - base), pa.array(ends[stop] - base), pa.array([None if k == NO_ID else k for k in kept], pa.int64()), pa.array(doc[edge] + (np.int64(head["slice"]) << 20))], [c.split()[0] for c in _SPANS.split(", ")])
 

@@ -13,7 +13,7 @@ without any structure; on clustered vectors the same share finds more.
 Cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do rows without an id; only vectors of one length
 are compared; equal scores go to the smaller id; rows with one id are
-candidates each, but never of their own id; with fewer candidates than k all
+candidates each, but never of their own id, and one query if they are equal; with fewer candidates than k all
 are returned; an empty table gives an empty result.
 """
 
@@ -139,7 +139,7 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     shards = max(1, -(-vectors.count() // SHARD_ROWS))
     members = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     members = members.withColumn("kind", F.lit(0))
-    queries = rows.filter(F.col("vec_id") % every == 0).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("kind", F.lit(1))
+    queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vector"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("kind", F.lit(1))
     both = members.unionByName(queries).repartition(max(parts(vectors), shards), "shard", "dim").sortWithinPartitions("shard", "dim", "kind", "vec_id")
     found = both.select("shard", "dim", "kind", "vec_id", "vector").mapInArrow(_search(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

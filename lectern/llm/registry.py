@@ -78,3 +78,20 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mixing.balance(documents(spark, sf_dir))
+
+
+#: Exact links by a join on shingles of all documents, then reachability.
+ORACLE_SQL["op3_jaccard"] = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(l) < 5 THEN array_to_string(l, ' ') ELSE array_to_string(l[i + 1 : i + 5], ' ') END AS g FROM (SELECT doc_id, l, unnest(range(CASE WHEN len(l) = 0 THEN 0 ELSE greatest(len(l) - 4, 1) END)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+r AS (SELECT s.doc_id, s.g FROM s JOIN f USING (g)),
+k AS (SELECT r.doc_id, any_value(n.n) AS n FROM r JOIN n USING (doc_id) GROUP BY r.doc_id HAVING 100 * count(*) >= 75 * any_value(n.n)),
+c AS (SELECT r.doc_id, r.g, k.n FROM r JOIN k USING (doc_id)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM c a JOIN c b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT a, b FROM p UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(d.doc_id, m.b), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = d.doc_id
+"""

@@ -356,3 +356,14 @@ def test_pipeline(spark, sf_dir):
     packed = corpus_pipeline.sequence_packing(spark, mixed, sf_dir)
     assert packed.select("doc_id").distinct().count() == mixed.select("doc_id").distinct().count()
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("name", registry.ORACLE_SQL)
+def test_sql(spark, sf_dir, name):
+    import duckdb
+
+    df = registry.QUERIES[name](spark, sf_dir)
+    with duckdb.connect() as con:
+        con.sql(f"create view documents as from '{sf_dir}/documents.parquet'")
+        found = con.sql(registry.ORACLE_SQL[name])
+        assert sorted(map(tuple, df.select(*found.columns).collect())) == sorted(found.fetchall())
