@@ -3,14 +3,15 @@
 A gear hash rolls over the bytes of every whole text; where its chosen bits
 are zero, and no such place lies within the LEAST bytes before, a chunk ends.
 The place depends on a few bytes of content only, so insertions shift nothing
-but their surroundings.  Digests of two adjoining chunks are dealt to buckets;
+but their surroundings.  A long stretch without such a place is cut where its
+most frequent hash recurs.  Digests of two adjoining chunks are dealt to buckets;
 a bucket names for each digest the least document that holds it.  In every
 other document runs of such chunks of RUN bytes or more are repeats.
 
 ``repeats`` returns the spans, ``deduplicate`` the documents without them.
 The first holder keeps its text; repeats inside one document stay.
 
-Cases: null and empty texts have no chunks and stay as they are; a text
+Cases: null and empty texts have no chunks and stay as they are; a short text
 without boundary is one chunk and cannot repeat in part; rows with one id are
 one document; a row without an id can repeat others but is the holder only of
 what no row with an id has; an empty table gives an empty result.
@@ -31,6 +32,8 @@ from lectern.llm.common import parts, small
 #: Bits of the gear hash that are zero at a boundary, on average one in 16.
 MASK_BITS, WINDOW = 4, 16
 LEAST, RUN = 12, 150
+#: Chunks longer than LONGEST are cut at recurring places, STRIDE apart.
+LONGEST, STRIDE = 112, 24
 NO_ID = (1 << 63) - 1
 U64 = np.uint64
 _GEAR = (tn.mix(np.arange(1000, 1256, dtype=np.uint64)) & U64(0xFFFFFFFF)).astype(np.uint32)
@@ -57,9 +60,30 @@ def boundaries(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     gap = np.diff(at, prepend=-(1 << 40))
     at = at[gap > LEAST]
     ends = np.union1d(at, last)
+    ends = np.union1d(ends, _periodic(h, data, ends))
     return ends, np.searchsorted(ends, offsets, side="right").astype(np.int64)
 
 
+def _periodic(h: np.ndarray, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Cuts inside chunks of more than LONGEST bytes, mostly one word over and
+    over: where the least of the frequent hashes stands, STRIDE bytes apart at
+    least.  In periodic text these are whole periods, whatever comes before."""
+    more = []
+    begins = np.append(0, ends[:-1])
+    for k in np.flatnonzero(ends - begins > LONGEST).tolist():
+        a, b = int(begins[k]) + WINDOW, int(ends[k])
+        values, count = np.unique(h[a:b], return_counts=True)
+        place = a + 1 + np.flatnonzero(h[a:b] == values[2 * count >= count.max()].min())
+        place = place[place < b]
+        place = place[(data[place] & 0xC0) != 0x80]
+        before = -STRIDE
+        for x in place.tolist():
+            if x - before >= STRIDE:
+                more.append(x)
+                before = x
+    return np.array(more, np.int64)
+
+
 _DEAL = "slice long, bucket int, kind int, ids binary, keys binary, docs binary, at binary, extra binary"
 _NAMES = [c.split()[0] for c in _DEAL.split(", ")]
 _TYPES = [pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 5
