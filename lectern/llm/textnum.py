@@ -154,7 +154,7 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     if first[-1] == 0:
         return np.zeros(0, np.uint64), first
     acc = np.zeros(n, np.uint64)
-    for j in range(k):
+    for j in range(min(k, n)):
         step = U64(pow(int(_GAP), j + 1, 1 << 64))
         acc[: n - j] += words.hash[j:] * step if j else words.hash * step
     begins = np.repeat(words.first[:-1] - first[:-1], per) + np.arange(first[-1])
