@@ -87,7 +87,8 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tagged(spark, sf_dir).withColumn("ambiguous", speech.needs_refinement(tagged(spark, sf_dir))).select("book_id", "sentence_index", "emotion", "level", "ambiguous")
+    own = tagged(spark, sf_dir)
+    return own.withColumn("ambiguous", speech.needs_refinement(own)).select("book_id", "sentence_index", "emotion", "level", "ambiguous")
 
 
 @query
