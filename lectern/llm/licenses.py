@@ -4,9 +4,10 @@ Templates become sequences of words (case folded, outer punctuation
 stripped).  Of the hashes of their word triples, winnowing keeps the least of
 every WINDOW; those go into an inverted index, sorted by hash.  A document
 position whose triple is in the index votes for a template and a start; starts
-near one with more votes that matched are the same candidate.  Around each candidate a banded alignment
-of the template with the text counts matched words.  The best candidates that
-do not overlap and cover COVERAGE of their template are reported.
+near one with more votes that matched are the same candidate.  Around each
+candidate a banded alignment of the template with the text counts matched
+words.  The best candidates that do not overlap and cover COVERAGE of their
+template are reported.
 
 The winnowed triples of a template are sought among all triples of a text, so
 an unaltered template is always a candidate.
