@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import speech
 from lectern.functions.text import normalize
-from lectern.operators import delivery, engines, narration, progress
+from lectern.operators import delivery, engines, narration, progress, services  # noqa: F401  (registers its engines)
 from lectern.plans.config import Settings
 from lectern.sources import audio, books
 
