@@ -147,6 +147,13 @@ def epub_chapters(books: DataFrame) -> DataFrame:
     return told.unionByName(rest)
 
 
+def epub_covers(books: DataFrame) -> DataFrame:
+    """book_id, name, cover_ext, cover (bytes) of epub_books() that have one."""
+    items = books.select("book_id", F.inline("items"))
+    chosen = ch.covers(items.drop("content"), books.select("book_id", "cover_id"))
+    return chosen.join(items.select("book_id", "name", F.col("content").alias("cover")), ["book_id", "name"])
+
+
 def read_books(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(books, chapters) of all .txt and .epub files at a path."""
     check_path(spark, path)

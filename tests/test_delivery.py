@@ -172,6 +172,7 @@ def test_sources(spark, tmp_path):
     assert plain == {"A Tale Of": "Chapter 1\nHello there. General!\n", "Latin": "Café"}
     packed = books.epub_books(found)
     assert {(r["title"], r["author"], r["language"], r["cover_id"]) for r in packed.collect()} == {("My Epub", "Unknown", "en", "img")}
+    assert {(r["name"], r["cover_ext"], bytes(r["cover"])) for r in books.epub_covers(packed).collect()} == {("pic.png", "png", b"png")}
     chapters = sorted((r["chapter_index"], r["title"], r["text"]) for r in books.epub_chapters(packed).collect())
     assert chapters == [(0, "Chapter 1", "Second text."), (0, "One", "Alpha\n\nFirst text."), (1, "Alpha", "Alpha\n\nFirst text."), (1, "Two", "Second text.")]
     (tmp_path / "bad.epub").write_bytes(b"not a zip")
