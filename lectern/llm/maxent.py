@@ -291,10 +291,12 @@ class Model:
         self.bias = np.zeros(self.classes + symbols, np.float32)
 
     def features(self, u: np.ndarray, g: np.ndarray) -> np.ndarray:
-        """(contexts, 3, classes + symbols) places in the weights."""
-        y = np.arange(self.classes + self.symbols, dtype=np.uint64)
-        kinds = [u + 1, g + 100_000, 200_000 + u * (GROUPS + 1) + g]
-        return np.stack([(tn.mix(k.astype(np.uint64)[:, None] * U64(1 << 20) + y[None]) >> U64(64 - HASH_BITS)).astype(np.int64) for k in kinds], axis=1)
+        """(contexts, 3, classes + symbols) places in the weights: the hash of
+        each context's part, plus the symbol, around the end of the table."""
+        y = np.arange(self.classes + self.symbols, dtype=np.int32)
+        kinds = np.stack([u + 1, g + 100_000, 200_000 + u * (GROUPS + 1) + g], axis=1)
+        at = (tn.mix(kinds.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - HASH_BITS)).astype(np.int32)
+        return (at[:, :, None] + y) & np.int32((1 << HASH_BITS) - 1)
 
     def log_probabilities(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural logs: (contexts, classes), and of symbols within their class."""
