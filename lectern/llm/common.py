@@ -45,7 +45,7 @@ def parts(df: DataFrame, least: int = 12) -> int:
 
 
 #: Rows of (id, small values) up to which a side of a join is broadcast.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -25,8 +25,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import store
 from lectern.llm import textnum as tn
-from lectern.llm.common import parts
+from lectern.llm.common import frugal, parts
 
 
 def canonical(text: str | None) -> str:
@@ -144,15 +145,31 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def duplicate_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, group_id (the least id with the same canonical text).
 
-    Only buckets with two members or more compare bytes: sha256 of the
-    canonical bytes beside the digest separates what a collision joined.
+    Documents alone with their fingerprint are done.  In the other buckets the
+    canonical bytes of each member are compared with those of the least; texts
+    that a collision put there are grouped among themselves by a second digest.
     """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def run(batches):
+    def mark(batches):
         for piece in tn.pieces(batches):
-            forms = [canonical(t) for t in piece.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([digest(f) for f in forms], pa.string()), pa.array([hashlib.sha256(f.encode("utf-8", "surrogatepass")).digest() for f in forms], pa.binary())], ["doc_id", "fingerprint", "bytes_key"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([fingerprint(t) for t in piece.column("text").to_pylist()], pa.string()), piece.column("text")], ["doc_id", "fingerprint", "text"])
 
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string, bytes_key binary")
-    least = got.groupBy("fingerprint", "bytes_key").agg(F.min("doc_id").alias("group_id"))
-    return got.join(least, ["fingerprint", "bytes_key"]).select("doc_id", "fingerprint", "group_id")
+    def compare(batches):
+        for piece in tn.pieces(batches):
+            forms, heads = ([canonical(t) for t in piece.column(c).to_pylist()] for c in ("text", "head"))
+            same = [a == b for a, b in zip(forms, heads, strict=True)]
+            other = [None if s else hashlib.sha256(f.encode("utf-8", "surrogatepass")).hexdigest() for s, f in zip(same, forms, strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("fingerprint"), piece.column("group_id"), pa.array(other, pa.string())], ["doc_id", "fingerprint", "group_id", "other"])
+
+    marked = frugal(own).mapInArrow(mark, "doc_id long, fingerprint string, text string")
+    buckets = store.table(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")), "buckets")
+    single = marked.join(buckets.filter("n = 1"), "fingerprint").select("doc_id", "fingerprint", F.col("doc_id").alias("group_id"))
+    members = marked.join(buckets.filter("n > 1").drop("n"), "fingerprint")
+    heads = members.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).select("fingerprint", F.col("text").alias("head")).dropDuplicates(["fingerprint"])
+    checked = members.join(heads, "fingerprint").select("doc_id", "fingerprint", "group_id", "text", "head").mapInArrow(compare, "doc_id long, fingerprint string, group_id long, other string")
+    equal, odd = checked.filter("other is null"), checked.filter("other is not null")
+    apart = odd.groupBy("fingerprint", "other").agg(F.min("doc_id").alias("group_id"))
+    odd = odd.drop("group_id").join(apart, ["fingerprint", "other"])
+    columns = ["doc_id", "fingerprint", "group_id"]
+    return single.unionByName(equal.select(*columns)).unionByName(odd.select(*columns))

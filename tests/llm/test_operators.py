@@ -116,6 +116,14 @@ def test_fingerprints(spark):
     assert groups == {1: 1, 5: 1, 9: 9, 7: 7, 3: 3, 4: 3}
 
 
+def test_colliding_digests_are_told_apart(spark, monkeypatch):
+    docs = cases.made(spark, [(1, "same"), (2, "SAME "), (3, "other"), (4, "other"), (5, "alone")])
+    groups = dict(fingerprint.duplicate_groups(docs).select("doc_id", "group_id").collect())
+    assert groups == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    monkeypatch.setattr(fingerprint, "digest", lambda form: "one")
+    assert fingerprint.likeness("a", "b") == 0.0 and fingerprint.likeness("a", "a") == 1.0
+
+
 def test_fingerprints_many_ranges(spark):
     pairs = [(i * 3, f"{i} " * (i % 50)) for i in range(400)]
     random.Random(2).shuffle(pairs)
