@@ -195,11 +195,12 @@ def test_repeated_passages(spark):
     pairs = [(i, cases.prose(60 + i, 150) + (" " + passage + " " if i % 3 == 0 else " ") + cases.prose(100 + i, 150)) for i in range(1, 31)]
     docs = cases.made(spark, pairs)
     spans = chunks.repeats(docs).collect()
-    assert {r["doc_id"] for r in spans} == {i for i, _ in pairs if i % 3 == 0} - {3} and {r["kept_in"] for r in spans} == {3}
-    texts = dict(pairs)
-    for r in spans:
-        piece = texts[r["doc_id"]].encode()[r["start"] : r["end"]].decode()
-        assert piece in texts[3] and len(piece) > 0.5 * len(passage)
+    assert {r["doc_id"] for r in spans} == {i for i, _ in pairs if i % 3 == 0} - {3}
+    texts, found = dict(pairs), Counter()
+    for r in spans:  # a few words more may be those of another holder than the passage's
+        assert texts[r["doc_id"]].encode()[r["start"] : r["end"]].decode() in texts[r["kept_in"]]
+        found[r["doc_id"]] += (r["end"] - r["start"]) * (r["kept_in"] == 3)
+    assert all(n > 0.8 * len(passage) for n in found.values()) and len(found) == 9
     after = {r["doc_id"]: r for r in chunks.deduplicate(docs).collect()}
     for i, t in pairs:
         assert (after[i]["text"] == t) == (i % 3 != 0 or i == 3)
