@@ -44,6 +44,9 @@ VOCABULARY, WORD_CLASSES, SHAPES, GROUPS = 510, 22, 18, 12
 #: A word that so many documents of a slice hold is counted before it is sent.
 COMMON = 8
 HASH_BITS, STEPS, RATE, DECAY = 18, 40, 0.6, 1e-7
+#: Partitions of the context counts, a table whose size does not grow with the
+#: corpus; each returns one gradient a step.
+TRAIN_PARTS = 16
 U64 = np.uint64
 SHAPE_BITS = U64(31)
 
@@ -161,6 +164,15 @@ def _count(batches):
         yield _row(-1, int(inner[0]["bucket"]), 2, None, keys[top].tobytes(), None, c[top].astype("<i8").tobytes(), np.concatenate((np.bincount(shape, c[seen], minlength=32), np.bincount(shape, minlength=32))).astype("<i8").tobytes())
 
 
+def _spread(batches):
+    """Rows of kind 2 one by one: (0, word, count) and (1, place, sum by shape)."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            words, n, sums = np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["counts"], "<i8"), np.frombuffer(r["extra"], "<i8")
+            kind = np.repeat(np.array([0, 1], np.int32), (len(words), len(sums)))
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate((words, np.arange(len(sums))))), pa.array(np.concatenate((n, sums)))], ["kind", "key", "n"])
+
+
 _BASE = "doc_id long, text_key long, n_words long, known long, raw double"
 
 
@@ -325,12 +337,12 @@ class Model:
 
 def train(cells: DataFrame, symbols: Symbols, steps: int = STEPS) -> Model:
     """cells (cell, n) of _Triple codes.  Each partition holds whole contexts,
-    returns its gradient, and the driver adds at most ``parts`` of these of
-    fixed size a step."""
+    returns its gradient, and the driver adds TRAIN_PARTS of these of fixed
+    size a step."""
     model = Model(symbols.size, symbols.words)
     k = symbols.size
     packed = cells.select((F.col("cell") / k).cast("long").alias("context"), (F.col("cell") % k).cast("int").alias("y"), "n")
-    packed = store.table(packed.repartition(parts(cells), "context").sortWithinPartitions("context", "y"), "contexts")
+    packed = store.table(packed.repartition(TRAIN_PARTS, "context").sortWithinPartitions("context", "y"), "contexts")
     first = packed.groupBy("y").agg(F.sum("n").alias("n")).collect()  # at most one row a symbol
     totals = np.full(k, 0.5)
     for r in first:
@@ -362,11 +374,11 @@ def train(cells: DataFrame, symbols: Symbols, steps: int = STEPS) -> Model:
                 held.append([batch.column(c).to_numpy() for c in ("context", "y", "n")])
             if held:
                 add(*(np.concatenate([h[i] for h in held]) for i in range(3)))
-                yield pa.RecordBatch.from_arrays([pa.array([sums[0].tobytes()]), pa.array([sums[1].tobytes()]), pa.array([sums[2]])], ["w", "b", "loss"])
+                yield pa.RecordBatch.from_arrays([pa.array([sums[0].astype("<f4").tobytes()]), pa.array([sums[1].tobytes()]), pa.array([sums[2]])], ["w", "b", "loss"])
 
         w, b, loss = np.zeros(1 << HASH_BITS), np.zeros(len(model.bias)), 0.0
         for row in packed.mapInArrow(run, "w binary, b binary, loss double").toLocalIterator():
-            w, b, loss = w + np.frombuffer(row["w"]), b + np.frombuffer(row["b"]), loss + row["loss"]
+            w, b, loss = w + np.frombuffer(row["w"], "<f4"), b + np.frombuffer(row["b"]), loss + row["loss"]
         shared.unpersist()
         w, b = w / n_total + DECAY * model.weights, b / n_total
         speed_w, speed_b = speed_w + w * w, speed_b + b * b
@@ -384,17 +396,14 @@ def score_documents(docs: DataFrame, folds: int = 10, test_fold: int = 0) -> Dat
     dealt = own.mapInArrow(_deal(n, folds, test_fold), _DEAL).repartition(n, "bucket").sortWithinPartitions("bucket")
     counted = store.table(dealt.mapInArrow(_count, _DEAL), "counts")
     base = store.table(counted.filter("kind < 2").repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(_sum, _BASE), "base")
-    # A bucket's sums and its VOCABULARY most frequent words; at most that many rows a bucket.
-    tops, shape_tokens, shape_types = [], np.zeros(32, np.int64), np.zeros(32, np.int64)
-    for r in counted.filter("kind = 2").select("keys", "counts", "extra").toLocalIterator():
-        tops.append((np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["counts"], "<i8")))
-        sums = np.frombuffer(r["extra"], "<i8")
-        shape_tokens, shape_types = shape_tokens + sums[:32], shape_types + sums[32:]
-        keys, c = (np.concatenate([t[i] for t in tops]) if tops else np.zeros(0, np.int64) for i in (0, 1))
-        best = np.lexsort((keys, -c))[:VOCABULARY]
-        tops = [(keys[best][c[best] > 0], c[best][c[best] > 0])]
+    sums = counted.filter("kind = 2").select("keys", "counts", "extra").mapInArrow(_spread, "kind int, key long, n long")
+    shape = np.zeros(64, np.int64)
+    for r in sums.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():  # 64 rows
+        shape[r["key"]] = r["n"]
+    shape_tokens, shape_types = shape[:32], shape[32:]
+    best = sums.filter("kind = 0 and n > 0").orderBy(F.col("n").desc(), "key").limit(VOCABULARY).collect()
+    keys, c = np.array([r["key"] for r in best], np.int64).view(np.uint64), np.array([r["n"] for r in best], np.int64)
     store.drop(counted)
-    keys, c = tops[0] if tops else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     train_docs = own.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != test_fold).count()
     total = int(shape_tokens.sum()) + train_docs
     types = int(shape_types.sum()) + (1 if train_docs else 0)
