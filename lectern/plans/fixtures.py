@@ -38,8 +38,10 @@ SELECT doc_id, lower(replace(text, chr(10), ' ')) AS reference,
 FROM documents WHERE lang = 'en'
 """
 
+#: The whole text: all of it in quotes, marks at its start, and at every comma, full stop and line after that.
 MARKED = """
 SELECT doc_id, '\u201c' || substr(text, 1, 40) || '\u201d\u2014' || substr(text, 41, 30) || ' -- ' || substr(text, 71, 30) || '\u2026'
+  || replace(replace(replace(substr(text, 101), ', ', '\u201d \u2013'), '. ', '\u2026\u200b -- \u201c'), chr(10), '.....' || chr(10) || 'it\u2019s . . . ')
   || '\u200b so it\u2019s.....  . . . end' AS text
 FROM documents
 """

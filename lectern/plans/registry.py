@@ -52,7 +52,7 @@ def figures_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def marks_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fixtures.view(spark, sf_dir, fixtures.MARKED)
+    own = spread(fixtures.view(spark, sf_dir, fixtures.MARKED))
     return text.normalize(own, numbers=False, abbreviations=False)
 
 
