@@ -8,7 +8,7 @@ NARRATIVE = "SELECT CAST(doc_id AS STRING) AS book_id, 0 AS chapter_index, lang,
 
 DIALOGUE = """
 WITH b AS (
-  SELECT conv_id, turn, replace(substr(text, 1, 40 + 10 * CAST(turn % 5 AS INT)), chr(10), ' ') AS t,
+  SELECT conv_id, turn, replace(text, chr(10), ' ') AS t,
     CASE CAST((conv_id * 5 + turn) % 6 AS INT) WHEN 0 THEN 'whispered' WHEN 1 THEN 'shouted' WHEN 2 THEN 'asked'
       WHEN 3 THEN 'sobbed' WHEN 4 THEN 'said' ELSE 'snapped' END AS verb
   FROM conversations)
