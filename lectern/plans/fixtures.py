@@ -35,7 +35,7 @@ WER_PAIRS = """
 SELECT doc_id, lower(replace(text, chr(10), ' ')) AS reference,
   trim(replace(' ' || lower(replace(text, chr(10), ' ')) || ' ', ' the ', ' xxx ')) AS hyp_sub,
   trim(replace(' ' || lower(replace(text, chr(10), ' ')) || ' ', ' the ', ' ')) AS hyp_del
-FROM documents WHERE lang = 'en'
+FROM documents
 """
 
 #: The whole text: all of it in quotes, marks at its start, and at every comma, full stop and line after that.
