@@ -2,7 +2,7 @@
 
 Templates become sequences of words (case folded, outer punctuation
 stripped).  Of the hashes of their word triples, winnowing keeps the least of
-every WINDOW; those go into an inverted index, sorted by hash.  A document
+every WINDOW, and all of templates of fewer words than SHORT; those go into an inverted index, sorted by hash.  A document
 position whose triple is in the index votes for a template and a start; starts
 near one with more votes that matched are the same candidate.  Around each
 candidate a banded alignment of the template with the text counts matched
@@ -32,6 +32,8 @@ from lectern.llm import textnum as tn
 from lectern.llm.common import frugal
 
 GRAM, WINDOW, BAND, COVERAGE = 3, 4, 8, 0.8
+#: Templates of fewer words are indexed by all their triples.
+SHORT = 20
 
 #: Fixed texts: public license notices, by name.
 TEMPLATES: dict[str, str] = {
@@ -95,7 +97,7 @@ class Index:
     def __init__(self, templates: Mapping[str, str]):
         self.names = sorted(templates)
         self.words = [tn.words_of(pa.array([templates[k]])).bare() for k in self.names]
-        rows = [(h[p], t, p) for t, w in enumerate(self.words) for h in [_triples(w)] for p in winnow(h).tolist()]
+        rows = [(h[p], t, p) for t, w in enumerate(self.words) for h in [_triples(w)] for p in (range(len(h)) if len(w) < SHORT else winnow(h).tolist())]
         keys = np.array([r[0] for r in rows], np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
