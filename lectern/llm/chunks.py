@@ -4,34 +4,41 @@ A gear hash rolls over the bytes of every whole text; where its chosen bits
 are zero, and no such place lies within the LEAST bytes before, a chunk ends.
 The place depends on a few bytes of content only, so insertions shift nothing
 but their surroundings.  A long stretch without such a place is cut where its
-most frequent hash recurs.  Digests of two adjoining chunks are dealt to buckets;
-a bucket names for each digest the least document that holds it.  In every
-other document runs of such chunks of RUN bytes or more are repeats.
+most frequent hash recurs.  Digests of two adjoining chunks are dealt to
+buckets; a bucket names for each digest the least document that holds it.  In
+every other document runs of such chunks of RUN_WORDS words or RUN_BYTES bytes
+are repeats.  The chunks that hold the two ends of a passage do not match, so
+the passage is some words longer than the run and its ends stay.
 
 ``repeats`` returns the spans, ``deduplicate`` the documents without them.
 The first holder keeps its text; repeats inside one document stay.
 
 Cases: null and empty texts have no chunks and stay as they are; a short text
 without boundary is one chunk and cannot repeat in part; rows with one id are
-one document; a row without an id can repeat others but is the holder only of
-what no row with an id has; an empty table gives an empty result.
+one document, so they do not repeat each other, and each row's own spans are
+cut from it; a row without an id can repeat others and is cut, but is the
+holder only of what no row with an id has; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm import store
+from lectern.llm import deal, store
 from lectern.llm import textnum as tn
 from lectern.llm.common import parts, small
 
-#: Bits of the gear hash that are zero at a boundary, on average one in 16.
-MASK_BITS, WINDOW = 4, 16
-LEAST, RUN = 12, 150
+#: Bits of the gear hash that are zero at a boundary, on average one in 8.
+MASK_BITS, WINDOW = 3, 16
+LEAST = 8
+#: Words, or bytes where there are few spaces, of a run that is a repeat: a
+#: passage of over 50 words less a chunk at either end.
+RUN_WORDS, RUN_BYTES = 40, 600
+#: Pairs of chunks that a task gathers before it deals them out.
+SLICE_PAIRS = 1_500_000
 #: Chunks longer than LONGEST are cut at recurring places, STRIDE apart.
 LONGEST, STRIDE = 112, 24
 NO_ID = (1 << 63) - 1
@@ -84,125 +91,113 @@ def _periodic(h: np.ndarray, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.array(more, np.int64)
 
 
-_DEAL = "slice long, bucket int, kind int, ids binary, keys binary, docs binary, at binary, extra binary"
-_NAMES = [c.split()[0] for c in _DEAL.split(", ")]
-_TYPES = [pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 5
-
-
-def _row(*values):
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _TYPES, strict=True)], _NAMES)
+_DDL = "slice long, bucket int, kind int, ids binary, texts binary, counts binary, more binary, keys binary, at binary, at_more binary, again binary, sizes binary, sizes_more binary, words binary, words_more binary"
+_TYPES = deal.types(_DDL)
 
 
 def _deal(buckets: int):
     """Pairs of chunks by bucket.  Of a pair that several documents of the
-    slice hold only the least document's is sent; the others stay in the header."""
-
-    def run(batches):
-        base, n_slice = TaskContext.get().partitionId() << 32, 0
-        for piece in tn.pieces(batches):
-            data, offsets = tn.utf8_buffers(piece.column("text"))
-            ids = piece.column("doc_id").fill_null(NO_ID).to_numpy().astype(np.int64)
-            ends, first = boundaries(data, offsets)
-            starts = np.append(0, ends[:-1]) if len(ends) else ends
-            words = tn.Words(data, offsets, lower=False)
-            doc = np.repeat(np.arange(len(ids)), np.diff(first))
-            pair = np.flatnonzero(doc[1:] == doc[:-1])
-            keys = words.spans(starts[pair], ends[pair + 1]) if len(pair) and len(words.hash) else np.zeros(0, np.uint64)
-            pair = pair[: len(keys)]
-            slice_id, n_slice = base + n_slice, n_slice + 1
-            order = np.lexsort((ids[doc[pair]], keys))
-            ranked, holder = keys[order], ids[doc[pair]][order]
-            new = np.append(True, ranked[1:] != ranked[:-1]) if len(order) else np.zeros(0, bool)
-            sent = np.zeros(len(order), bool)
-            sent[order[new]] = True
-            local = np.flatnonzero(~sent)
-            yield _row(slice_id, slice_id % buckets, 1, ids.tobytes(), keys[local].tobytes(), np.diff(first).astype(np.int64).tobytes(), pair[local].astype("<i8").tobytes(), np.concatenate((offsets[:1], ends)).astype("<i8").tobytes())
-            own, rows = keys[sent], pair[sent]
-            to = (own % U64(buckets)).astype(np.int64)
-            by = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[by], np.arange(buckets + 1))
-            repeated = np.isin(own, keys[local])
-            for b in np.flatnonzero(np.diff(cuts)):
-                x = by[cuts[b] : cuts[b + 1]]
-                yield _row(slice_id, int(b), 0, None, own[x].tobytes(), ids[doc[rows[x]]].tobytes(), rows[x].astype("<i4").tobytes(), repeated[x].tobytes())
-
-    return run
-
-
-def _groups(batches, name):
-    key, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row[name] != key and rows:
-                yield rows
-                rows = []
-            key = row[name]
-            rows.append(row)
-    if rows:
-        yield rows
+    slice hold only the least document's is sent; the header names that one's
+    place for the others, and has the sizes of all chunks in bytes and words."""
+
+    def measure(piece):
+        data, offsets = tn.utf8_buffers(piece.column("text"))
+        ends, first = boundaries(data, offsets)
+        starts = np.append(0, ends[:-1]) if len(ends) else ends
+        words = tn.Words(data, offsets, lower=False)
+        counts = np.diff(first)
+        doc = deal.owner(counts)
+        pair = np.flatnonzero(doc[1:] == doc[:-1])
+        keys = words.spans(starts[pair], ends[pair + 1]) if len(pair) and len(words.hash) else np.zeros(0, np.uint64)
+        ids, texts = piece.column("doc_id").fill_null(NO_ID).to_numpy().astype("<i8"), piece.column("text_key").to_numpy().astype("<i8")
+        return keys, pair[: len(keys)], doc[pair[: len(keys)]], counts, ends - starts, np.diff(np.searchsorted(words.start, np.concatenate(([0], ends)))), ids, texts
+
+    def pack(slice_id, held):
+        bases = np.cumsum([0, *[len(h[4]) for h in held]]), np.cumsum([0, *[len(h[3]) for h in held]])
+        pair, doc = (np.concatenate([h[i] + base for h, base in zip(held, bases[i - 1], strict=False)]) for i in (1, 2))
+        keys, counts, sizes, words, ids, texts = (np.concatenate([h[i] for h in held]) for i in (0, 3, 4, 5, 6, 7))
+        order = np.lexsort((pair, ids[doc], keys))
+        at, length = deal.runs(keys[order])
+        sent = order[at]
+        first_of = np.empty(len(keys), np.int64)
+        first_of[order] = np.repeat(sent, length)
+        again = np.zeros(len(keys), bool)
+        again[sent[length > 1]] = True
+        local = np.flatnonzero(first_of != np.arange(len(keys)))
+        (n_chunks, n_more), (size, size_more), (word, word_more) = (deal.to_bytes(x) for x in (counts, sizes, words))
+        yield deal.row(
+            _TYPES, slice=slice_id, bucket=slice_id % buckets, kind=1, ids=ids.tobytes(), texts=texts.tobytes(), counts=n_chunks, more=n_more, sizes=size, sizes_more=size_more, words=word, words_more=word_more,
+            keys=pair[first_of[local]].astype("<u4").tobytes(), at=pair[local].astype("<u4").tobytes(),
+        )
+        sent = np.sort(sent)
+        to = (keys[sent] % U64(buckets)).astype(np.int64)
+        sent = sent[np.argsort(to, kind="stable")]
+        cuts = np.searchsorted(np.sort(to), np.arange(buckets + 1))
+        steps = np.diff(ids, prepend=np.int64(0)).astype("<i8").tobytes()
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            x = sent[cuts[b] : cuts[b + 1]]
+            (count, more), (gap, gap_more) = deal.to_bytes(np.bincount(doc[x], minlength=len(ids))), deal.to_bytes(np.diff(pair[x], prepend=0))
+            yield deal.row(_TYPES, slice=slice_id, bucket=b, kind=0, ids=steps, counts=count, more=more, keys=keys[x].tobytes(), at=gap, at_more=gap_more, again=np.packbits(again[x]).tobytes())
+
+    return lambda batches: deal.slices(batches, SLICE_PAIRS, measure, pack)
 
 
 def _holders(batches):
     """Of each pair that another document than its least holder has: that
     holder, back to the slices; also of pairs that a slice holds repeatedly."""
-    for rows in _groups(batches, "bucket"):
-        inner = [r for r in rows if r["kind"] == 0]
-        for r in rows:
-            if r["kind"] == 1:
-                yield _row(r["slice"], 0, 1, r["ids"], r["keys"], r["docs"], r["at"], r["extra"])
-        if not inner:
-            continue
-        key = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in inner])
-        doc = np.concatenate([np.frombuffer(r["docs"], "<i8") for r in inner])
-        order = np.lexsort((doc, key))
-        start = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-        least = np.empty(len(key), np.int64)
-        least[order] = np.repeat(doc[order][start], np.diff(np.append(start, len(key))))
-        at = 0
-        for r in inner:
-            n = len(r["keys"]) // 8
-            own = slice(at, at + n)
-            at += n
-            keep = (least[own] != doc[own]) | np.frombuffer(r["extra"], bool)
-            if keep.any():
-                yield _row(r["slice"], 0, 0, None, key[own][keep].tobytes(), least[own][keep].tobytes(), np.frombuffer(r["at"], "<i4")[keep].tobytes(), None)
-
-
-_SPANS = "doc_id long, start long, end long, kept_in long, row_key long"
+    headers: list = []
+    inner = deal.inner_rows(batches, headers)
+    for r in headers:
+        yield deal.row(_TYPES, **r)
+    if not inner:
+        return
+    key = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in inner])
+    doc = np.concatenate([np.cumsum(np.frombuffer(r["ids"], "<i8"))[deal.owner(deal.from_bytes(r["counts"], r["more"]))] for r in inner])
+    order = np.lexsort((doc, key))
+    start, length = deal.runs(key[order])
+    least = np.empty(len(key), np.int64)
+    least[order] = np.repeat(doc[order][start], length)
+    at = 0
+    for r in inner:
+        n = len(r["keys"]) // 8
+        own = slice(at, at + n)
+        at += n
+        keep = (least[own] != doc[own]) | np.unpackbits(np.frombuffer(r["again"], np.uint8))[:n].astype(bool)
+        if keep.any():
+            yield deal.row(_TYPES, slice=r["slice"], bucket=0, kind=0, ids=least[own][keep].tobytes(), at=np.cumsum(deal.from_bytes(r["at"], r["at_more"]))[keep].astype("<u4").tobytes())
+
+
+_SPANS = "doc_id long, text_key long, start long, end long, kept_in long"
 
 
 def _spans(batches):
     """Runs of repeated chunks of a slice's documents, in bytes of the text."""
-    for rows in _groups(batches, "slice"):
+    for _, rows in deal.groups(batches, "slice"):
         head = next(r for r in rows if r["kind"] == 1)
         inner = [r for r in rows if r["kind"] == 0]
         if not inner:
             continue
-        ids, edges = np.frombuffer(head["ids"], "<i8"), np.frombuffer(head["extra"], "<i8")
-        counts = np.frombuffer(head["docs"], "<i8")
-        doc, ends = np.repeat(np.arange(len(ids)), counts), edges[1:]
-        begins = np.append(edges[:1], ends[:-1])
-        key = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in inner])
-        least = np.concatenate([np.frombuffer(r["docs"], "<i8") for r in inner])
-        at = np.concatenate([np.frombuffer(r["at"], "<i4") for r in inner]).astype(np.int64)
-        local, local_at = np.frombuffer(head["keys"], "<u8"), np.frombuffer(head["at"], "<i8")
+        ids, texts = np.frombuffer(head["ids"], "<i8"), np.frombuffer(head["texts"], "<i8")
+        counts, sizes, words = (deal.from_bytes(head[c], head[m]) for c, m in (("counts", "more"), ("sizes", "sizes_more"), ("words", "words_more")))
+        doc, ends = deal.owner(counts), np.cumsum(sizes)
+        begins, said = ends - sizes, np.concatenate(([0], np.cumsum(words)))
+        at, least = np.concatenate([np.frombuffer(r["at"], "<u4") for r in inner]).astype(np.int64), np.concatenate([np.frombuffer(r["ids"], "<i8") for r in inner])
+        local = np.frombuffer(head["at"], "<u4").astype(np.int64)
         if len(local):
-            order = np.argsort(key)
-            owner = least[order][np.searchsorted(key[order], local)]
-            at, least = np.append(at, local_at), np.append(least, owner)
+            order = np.argsort(at)
+            of = order[np.searchsorted(at[order], np.frombuffer(head["keys"], "<u4"))]
+            at, least = np.append(at, local), np.append(least, least[of])
         other = least != ids[doc[at]]
         at, least = at[other], least[other]
-        mark = np.zeros(len(ends) + 1, bool)
-        mark[at] = True
-        mark[at + 1] = True
-        holder = np.full(len(ends) + 1, NO_ID)
-        np.minimum.at(holder, at, least)
-        np.minimum.at(holder, at + 1, least)
+        mark, holder = np.zeros(len(ends) + 1, bool), np.full(len(ends) + 1, NO_ID)
+        for k in (0, 1):
+            mark[at + k] = True
+            np.minimum.at(holder, at + k, least)
         mark, holder = mark[: len(ends)], holder[: len(ends)]
-        follows = np.append(False, mark[:-1] & (doc[1:] == doc[:-1]))
+        follows = np.append(False, mark[:-1] & mark[1:] & (doc[1:] == doc[:-1]))
         first = np.flatnonzero(mark & ~follows)
-        last = np.flatnonzero(mark & ~np.append(follows[1:] & mark[1:], False))
-        long = ends[last] - begins[first] >= RUN
+        last = np.flatnonzero(mark & ~np.append(follows[1:], False))
+        long = (said[last + 1] - said[first] >= RUN_WORDS) | (ends[last] - begins[first] >= RUN_BYTES)
         inside = np.zeros(len(ends) + 1, np.int64)
         inside[first[long]] += 1
         inside[last[long] + 1] -= 1
@@ -211,19 +206,17 @@ def _spans(batches):
         same = np.append(False, inside[:-1] & follows[1:] & (holder[1:] == holder[:-1]))
         edge = np.flatnonzero(inside & ~same)
         stop = np.flatnonzero(inside & ~np.append(same[1:], False))
-        origin = np.concatenate(([0], np.cumsum(counts)))[:-1]
-        base = begins[np.minimum(origin[doc[edge]], len(begins) - 1)] if len(edge) else edge
-        kept = holder[edge].tolist()
-        own = ids[doc[edge]]
-        yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NO_ID), pa.array(begins[edge] - base), pa.array(ends[stop] - base), pa.array([None if k == NO_ID else k for k in kept], pa.int64()), pa.array(doc[edge] + (np.int64(head["slice"]) << 20))], [c.split()[0] for c in _SPANS.split(", ")])
+        base = np.concatenate(([0], ends))[np.cumsum(counts) - counts][doc[edge]]
+        own, kept = ids[doc[edge]], holder[edge]
+        yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NO_ID), pa.array(texts[doc[edge]]), pa.array(begins[edge] - base), pa.array(ends[stop] - base), pa.array(kept, mask=kept == NO_ID)], [c.split()[0] for c in _SPANS.split(", ")])
 
 
 def _found(docs: DataFrame) -> DataFrame:
     n = parts(docs)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = own.mapInArrow(_deal(2 * n), _DEAL).repartition(n, "bucket").sortWithinPartitions("bucket")
-    back = dealt.mapInArrow(_holders, _DEAL).repartition(n, "slice").sortWithinPartitions("slice")
-    return back.mapInArrow(_spans, _SPANS)
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    back = deal.by_bucket(own.mapInArrow(_deal(n), _DDL), n).mapInArrow(_holders, _DDL)
+    return deal.by_slice(back, n).mapInArrow(_spans, _SPANS)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -245,22 +238,20 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents with their columns; repeated spans are gone from text,
-    and n_chars, where there is such a column, counts what remains."""
-    spans = store.table(_found(docs), "spans")
-    # Rows with one id and several texts: a span belongs to the text that has it.
-    per = spans.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    per = per.groupBy(F.col("doc_id").alias("span_id")).agg(F.first("spans").alias("spans"), F.countDistinct("spans").alias("kinds"))
+    and n_chars, where there is such a column, counts what remains.  A span
+    belongs to the rows of its id, null too, with the very text it was found in."""
+    per = _found(docs).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("lectern_spans"))
+    per = store.table(per.select(F.col("doc_id").alias("lectern_id"), F.col("text_key").alias("lectern_key"), "lectern_spans"), "cuts")
     columns = docs.columns
 
     def run(batches):
         for batch in batches:
-            texts, spans_ = batch.column("text").to_pylist(), batch.column("lectern_spans").to_pylist()
-            new = [cut(t, [(s["start"], s["end"]) for s in x]) if x and t else t for t, x in zip(texts, spans_, strict=True)]
-            arrays = [pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(arrays, columns)
+            texts, spans = batch.column("text").to_pylist(), batch.column("lectern_spans").to_pylist()
+            new = [cut(t, [(s["start"], s["end"]) for s in x]) if x and t else t for t, x in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in columns], columns)
 
-    per = small(store.table(per.filter("kinds = 1").select("span_id", F.col("spans").alias("lectern_spans")), "cuts"))
-    same = F.col("doc_id") == F.col("span_id")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("lectern_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("lectern_key"))
+    per = small(per)
     untouched = docs.join(per, same, "left_anti")
     out = docs.join(per, same).select(*columns, "lectern_spans").mapInArrow(run, docs.schema)
     if "n_chars" in columns:
