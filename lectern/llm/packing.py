@@ -11,7 +11,8 @@ the room left, so that sequences come out full.
 input partition, without a shuffle.  Texts are taken a few megabytes at a
 time; only items that the last window left over are carried on.  What remains
 at the end of a partition goes into sequences whose lengths are powers of two,
-which need no padding.
+which need no padding.  Sequences that come to the segment limit wait for
+longer documents, of which a piece fills them up.
 
 Cases: null text is empty and yields the end token alone; a text longer than
 a sequence is cut into full sequences and a rest; documents with one id are
@@ -39,11 +40,13 @@ END = 1
 MAX_SEGMENTS = 64
 #: Words that a worker keeps the ids of, by hash; then it starts anew.
 CACHE_WORDS = 700_000
+#: Sequences of short documents that a partition holds back to be filled up.
+MAX_SHORT = 2000
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Of one sequence; every token bears loss unless a mask says otherwise."""
+    """Of one sequence."""
 
     tokens: int = LENGTH
     segments: int = MAX_SEGMENTS
@@ -61,7 +64,8 @@ def units(words: tn.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letter or digit and the one to three marks after it.
 
     The pre-tokeniser parts letters from marks, so a cut between an ASCII
-    letter or digit, or a two-byte Latin letter, and a mark changes no id.
+    letter or digit, or a two-byte Latin letter, and a mark changes no id; but
+    the lower case of \u0130 ends in a mark itself.
     """
     data, start, end = words.data, words.start, words.end
     cut = end.copy()
@@ -69,7 +73,7 @@ def units(words: tn.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cut -= _TAIL[data[cut - 1]] & (cut - start > 1)
     last, before = data[cut - 1], data[np.maximum(cut - 2, 0)]
     latin = (before >= 0xC3) & (before <= 0xC9) & (last >= 0x80) & (last < 0xC0) & (cut - start > 1)
-    latin &= ~((before == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+    latin &= ~((before == 0xC3) & ((last == 0x97) | (last == 0xB7))) & ~((before == 0xC4) & (last == 0xB0))
     parted = (cut < end) & (_SOLID[last] | latin)
     per = 1 + parted.astype(np.int64)
     at = np.cumsum(per) - per
@@ -242,64 +246,110 @@ _OUT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "
 _DDL = ", ".join(f"{c} long" for c in _OUT)
 
 
+@dataclass
+class _Item:
+    """Ids of a document from place ``begin`` on, and how many of them bear loss."""
+
+    doc: int | None
+    ids: np.ndarray
+    begin: int
+    total: int
+    loss: float
+
+    def part(self, start: int, length: int) -> _Item:
+        return _Item(self.doc, self.ids[start : start + length], self.begin + start, self.total, self.loss * length / max(len(self.ids), 1))
+
+
 class _Packer:
     """Packs the documents of one partition, window by window."""
 
     def __init__(self, limits: Limits, base: int):
-        self.limits, self.sequence, self.open = limits, base, []
+        self.limits, self.sequence = limits, base
+        self.open: list[_Item] = []
+        #: Sequences that came to the segment limit before they were full.
+        self.short: list[list[_Item]] = []
         self.rows: list[tuple] = []
 
-    def _emit(self, piece: tuple, start: int, length: int, sequence: int, offset: int) -> None:
-        doc, ids, begin, total = piece
-        own = ids[start : start + length]
-        self.rows.append((doc, begin + start, length, zlib.crc32(own.astype("<u4").tobytes()), total, sequence, offset))
+    def _emit(self, pieces: list[_Item]) -> None:
+        offset = 0
+        for x in pieces:
+            self.rows.append((x.doc, x.begin, len(x.ids), zlib.crc32(x.ids.astype("<u4").tobytes()), x.total, self.sequence, offset))
+            offset += len(x.ids)
+        self.sequence += 1
+
+    def add(self, docs: list, ids: np.ndarray, first: np.ndarray, loss: list) -> None:
+        """Short documents by vector packing; long ones first fill up what the
+        segment limit closed, then are full sequences and a rest."""
+        size, long = self.limits.tokens, []
+        for d, a, b, own in zip(docs, first[:-1].tolist(), first[1:].tolist(), loss, strict=True):
+            (long if b - a >= size else self.open).append(_Item(d, ids[a:b], 0, b - a, own))
+        self._fill_short()
+        self._pack()
+        self.open = [_Item(x.doc, x.ids.copy(), x.begin, x.total, x.loss) for x in self.open]
+        for x in long:
+            while len(x.ids) >= size and x.loss * size / len(x.ids) <= self.limits.loss:
+                before = self.short.pop() if self.short else []
+                room = size - sum(len(y.ids) for y in before)
+                if sum(y.loss for y in before) + x.part(0, room).loss > self.limits.loss:
+                    self.short.append(before)
+                    break
+                self._emit([*before, x.part(0, room)])
+                x = x.part(room, len(x.ids) - room)
+            if len(x.ids):
+                self.open.append(_Item(x.doc, x.ids.copy(), x.begin, x.total, x.loss))
+
+    def _fill_short(self) -> None:
+        """Sequences of many short documents are filled up from the longest items."""
+        self.open.sort(key=lambda x: -len(x.ids))
+        at, kept = 0, []
+        for pieces in self.short:
+            room = self.limits.tokens - sum(len(x.ids) for x in pieces)
+            if at < len(self.open) and len(self.open[at].ids) > room and sum(x.loss for x in pieces) + self.open[at].part(0, room).loss <= self.limits.loss:
+                item = self.open[at]
+                self._emit([*pieces, item.part(0, room)])
+                self.open[at] = item.part(room, len(item.ids) - room)
+                at += 1
+            else:
+                kept.append(pieces)
+        self.short = kept
 
-    def add(self, docs: list, ids: np.ndarray, first: np.ndarray) -> None:
-        """Full sequences of long documents, then the rests by vector packing."""
-        size = self.limits.tokens
+    def _pack(self) -> None:
         items = self.open
-        for d, a, b in zip(docs, first[:-1].tolist(), first[1:].tolist(), strict=True):
-            total, at = b - a, 0
-            while total - at >= size:
-                self._emit((d, ids[a:b], 0, total), at, size, self.sequence, 0)
-                self.sequence, at = self.sequence + 1, at + size
-            if at < total:
-                items.append((d, ids[a + at : b], at, total))
-        self._pack(items)
-
-    def _pack(self, items: list) -> None:
-        demand = np.array([(len(x[1]), 1, len(x[1])) for x in items], float).reshape(-1, 3)
+        demand = np.array([(len(x.ids), 1, x.loss) for x in items], float).reshape(-1, 3)
         sequences, left = fill(demand, self.limits, last=False)
+        self.open = [items[i].part(s, len(items[i].ids) - s) for i, s in left]
         for pieces in sequences:
-            if sum(p[2] for p in pieces) < self.limits.tokens:  # the segment limit came first
-                self._tail([(items[i][0], items[i][1][s : s + n], items[i][2] + s, items[i][3]) for i, s, n in pieces])
-                continue
-            offset = 0
-            for i, s, n in pieces:
-                self._emit(items[i], s, n, self.sequence, offset)
-                offset += n
-            self.sequence += 1
-        self.open = [(items[i][0], items[i][1][s:].copy(), items[i][2] + s, items[i][3]) for i, s in left]
-
-    def _tail(self, items: list) -> None:
+            own = [items[i].part(s, n) for i, s, n in pieces]
+            if sum(len(x.ids) for x in own) == self.limits.tokens:
+                self._emit(own)
+            elif len(own) == self.limits.segments and len(self.short) < MAX_SHORT:
+                self.open.append(own.pop())
+                self.short.append(own)
+            else:
+                self._tail(own)
+
+    def _tail(self, items: list[_Item]) -> None:
         """Sequences of powers of two, without padding."""
-        queue = list(items)[::-1]
-        for room in _powers(sum(len(x[1]) for x in items)):
-            offset = 0
-            while offset < room:
-                d, ids, begin, total = queue.pop()
-                n = min(len(ids), room - offset)
-                self._emit((d, ids, begin, total), 0, n, self.sequence, offset)
-                if n < len(ids):
-                    queue.append((d, ids[n:], begin + n, total))
-                offset += n
-            self.sequence += 1
+        queue = items[::-1]
+        for room in _powers(sum(len(x.ids) for x in items)):
+            own, left = [], room
+            while left:
+                x = queue.pop()
+                n = min(len(x.ids), left)
+                own.append(x.part(0, n))
+                if n < len(x.ids):
+                    queue.append(x.part(n, len(x.ids) - n))
+                left -= n
+            self._emit(own)
 
     def end(self) -> None:
-        """What is open holds less than one sequence; segments stay in limits."""
-        for at in range(0, len(self.open), self.limits.segments):
-            self._tail(self.open[at : at + self.limits.segments])
-        self.open = []
+        """What is open holds less than one sequence; segments and loss stay in limits."""
+        for own in self.short:
+            self._tail(own)
+        demand = np.array([(len(x.ids), 1, x.loss) for x in self.open], float).reshape(-1, 3)
+        for pieces in fill(demand, self.limits)[0]:
+            self._tail([self.open[i].part(s, n) for i, s, n in pieces])
+        self.open, self.short = [], []
 
     def take(self) -> pa.RecordBatch:
         """The rows so far; a null id stays null."""
@@ -308,11 +358,14 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _OUT)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limits: Limits = Limits()) -> DataFrame:  # noqa: B008
+def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limits: Limits = Limits(), loss: str | None = None) -> DataFrame:  # noqa: B008
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``vocabulary`` is a file name of the public tokenizers or a path that every
     worker can open.  Sequence ids hold the partition in their upper bits.
+    ``loss`` names a column with the share, 0 to 1, of a document's tokens that
+    bear loss (those of the answers, in instruction data); null, or without
+    the column, it is 1.  The end id bears none.
     """
 
     def run(batches):
@@ -320,9 +373,23 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit
         packer = _Packer(limits, TaskContext.get().partitionId() << 36)
         for piece in tn.pieces(batches):
             ids, first = tokenizer.encode(piece.column("text"))
-            packer.add(piece.column("doc_id").to_pylist(), ids, first)
+            bearing = (np.diff(first) - 1) * piece.column("share").to_numpy()
+            packer.add(piece.column("doc_id").to_pylist(), ids, first, bearing.tolist())
             yield packer.take()
         packer.end()
         yield packer.take()
 
-    return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _DDL)
+    share = F.lit(1.0) if loss is None else F.least(F.greatest(F.coalesce(F.col(loss).cast("double"), F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+    return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), share.alias("share")).mapInArrow(run, _DDL)
+
+
+def pack_conversations(turns: DataFrame, vocabulary: str = "word_bpe_49k.json", limits: Limits = Limits(loss=LENGTH // 2), answers: str = "assistant") -> DataFrame:  # noqa: B008
+    """Conversations (conv_id, turn, role, text) as instruction data: one
+    document each, its turns in order, of which those of the role ``answers``
+    bear loss, by their share of the characters.  Columns as pack_documents,
+    conv_id as doc_id.  Null texts are empty, null roles bear no loss."""
+    size = F.sum(F.length(F.coalesce("text", F.lit(""))))
+    own = F.sum(F.when(F.col("role") == answers, F.length(F.coalesce("text", F.lit("")))).otherwise(0))
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "\n")
+    examples = turns.groupBy("conv_id").agg(said.alias("text"), (own / F.greatest(size, F.lit(1))).alias("share"))
+    return pack_documents(examples.select(F.col("conv_id").alias("doc_id"), "text", "share"), vocabulary, limits, "share")
