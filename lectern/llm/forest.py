@@ -11,16 +11,19 @@ Every row is indexed.  The share is what recall of 0.9 needs on vectors
 without any structure; on clustered vectors the same share finds more.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite
-components take no part, nor do rows without an id; only vectors of one length
-are compared; equal scores go to the smaller id; rows with one id are
-candidates each, but never of their own id, and one query if they are equal; with fewer candidates than k all
-are returned; an empty table gives an empty result.
+components take no part, nor do rows without an id; vectors are scaled by a
+power of two before anything is squared, so that none over- or underflows;
+only vectors of one length are compared; equal scores go to the smaller id;
+rows with one id are candidates each, but never of their own id; as queries
+they are one if they are equal, else each has its own ranks; with fewer
+candidates than k all are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,9 +47,16 @@ def strings(unit: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return np.packbits(signs, axis=2).view(">u8")[:, :, 0].astype(np.uint64)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that its largest component is in
+    [0.5, 1); cosines stay as they are, to the last bit."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 class Forest:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors = ids, scaled(vectors)
+        vectors = self.vectors
         self.norm = np.sqrt((vectors * vectors).sum(axis=1))
         self.unit = (vectors / self.norm[:, None]).astype(np.float32)
         self.planes = hyperplanes(vectors.shape[1])
@@ -63,8 +73,9 @@ class Forest:
             hi[:, t] = np.searchsorted(self.sorted[:, t], codes[:, t] | rest, side="right")
         return lo, hi
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-        """(query, vector, cosine) of the k best candidates of each query."""
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int, float]]:
+        """(query, its place in the block, vector, cosine) of the k best candidates of each query."""
+        queries = scaled(queries)
         norms = np.sqrt((queries * queries).sum(axis=1))
         unit = (queries / norms[:, None]).astype(np.float32)
         codes = strings(unit, self.planes)
@@ -88,7 +99,7 @@ class Forest:
                 at = at[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-5]
             score = (self.vectors[at] * queries[q]).sum(axis=1) / (self.norm[at] * norms[q])
             best = np.lexsort((self.ids[at], -score))[:k]
-            out += [(int(query_ids[q]), int(self.ids[at[b]]), float(score[b])) for b in best]
+            out += [(int(query_ids[q]), q, int(self.ids[at[b]]), float(score[b])) for b in best]
         return out
 
 
@@ -107,7 +118,9 @@ def _search(k: int):
     def flush(forest, rows):
         if forest is not None and rows:
             found = forest.search(np.array([r[0] for r in rows], np.int64), np.stack([np.frombuffer(r[1]) for r in rows]), k)
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+            marks = [xxhash.xxh3_64_intdigest(r[1]) - (1 << 63) for r in rows]
+            columns = [[f[0] for f in found], [marks[f[1]] for f in found], [f[2] for f in found], [f[3] for f in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "mark", "vec_id", "score"])
 
     def run(batches):
         key, members, queries, forest = None, [], [], None
@@ -141,6 +154,6 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     members = members.withColumn("kind", F.lit(0))
     queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vector"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("kind", F.lit(1))
     both = members.unionByName(queries).repartition(max(parts(vectors), shards), "shard", "dim").sortWithinPartitions("shard", "dim", "kind", "vec_id")
-    found = both.select("shard", "dim", "kind", "vec_id", "vector").mapInArrow(_search(k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = both.select("shard", "dim", "kind", "vec_id", "vector").mapInArrow(_search(k), "query_id long, mark long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "mark").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
