@@ -91,7 +91,7 @@ def newton(counted: DataFrame, goals: DataFrame, steps: int = NEWTON_STEPS) -> D
         both = found.join(state.filter(open_).select("source", "mean", "lam"), F.col("own").eqNullSafe(F.col("source")))
         x = F.col("size") / (F.col("size") + F.col("mean"))
         words, rate = F.col("size") * F.col("n"), _rate(F.col("lam"), x)
-        exact = lambda v: F.sum(v.cast("decimal(28,6)")).cast("double")  # noqa: E731  (in any order of rows the same)
+        exact = lambda v: F.sum(v.cast("decimal(38,12)")).cast("double")  # noqa: E731  (in any order of rows the same)
         sums = both.groupBy(F.col("source").alias("own")).agg(exact(words * rate).alias("mass"), exact(F.when(rate < MAX_COPIES, words * x * rate).otherwise(0.0)).alias("slope"))
         after = state.join(sums, F.col("source").eqNullSafe(F.col("own")), "left").drop("own")
         over = F.col("mass") >= F.col("target")
