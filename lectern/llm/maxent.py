@@ -1,28 +1,34 @@
 """Language-model scores by a hashed maximum-entropy model.
 
-Counting.  Every text becomes its words; the distinct words of slices of texts
-are dealt to buckets, where their exact counts over the training documents are
-summed and come back to the documents as sums of log10(c + 0.1).  A word that
-many documents of a slice hold is sent once with its sum; so frequent words
-weigh no more on a bucket than rare ones.
-
-Model.  Symbols are the VOCABULARY most frequent words, 18 shapes of all other
-words (last mark, ASCII or not, length) and the end.  The probability of a
-symbol is that of its class times that in its class; both are softmaxes whose
-scores sum hashed features: the symbol alone, with the previous symbol
-(bigram), with the group of the last vocabulary word however far back (skip)
-and with both.  A rare word has its shape's probability times its smoothed
-share of that shape's words, an unseen one the share of 0.1; so the
-probabilities of all words and the end sum to one.  Contexts (previous symbol,
-skip group) are counted over all training documents; gradients of the
-likelihood are computed where the counts lie and summed into updates of the
-weights (Adagrad).  Scoring looks up the table of log-probabilities, a slice
-of texts at a time, in numpy.
+Counting.  Every text becomes its words.  Slices of texts deal their distinct
+words to buckets, where exact counts over the training documents are summed;
+each entry's count comes back to its slice, which sums log10(c + 0.1).  A word
+that several documents of a slice hold is sent once, with its sum.
+
+Model.  Every word, however rare, is a cell of a hash space that is sized from
+the number of distinct words.  Cells belong to classes of at most MEMBERS
+cells, by what precedes them (a random projection of their left neighbours,
+clustered) and by frequency.  The probability of a word is
+
+    P(class | u, g) * P(cell | class, u, g) * share of the word in its cell
+
+with u the class of the word before (bigram), g the group of the last frequent
+word however far back (skip).  Both softmaxes sum features: the class or cell
+alone, with g, and with u.  A word's share is (c + 0.1) over that sum of its
+cell and one unseen word more, so the probabilities of all words and the end
+sum to one.
+
+Training.  The softmax of a class depends on its own cells' features alone, so
+the counts of each class meet in a partition of its own, which takes the
+gradient steps there; one more partition fits the classes themselves.  Counts
+travel sparse; what comes to the driver is of the size of the hash space, at
+most 2**16 cells, and so is the broadcast model.  Texts are scored a slice at
+a time in numpy.
 
 Cases: null text is empty and consists of the end alone; a row without an id
 is neither learnt from nor held out; identical rows get identical scores;
 without training documents every count is 0 and the model is uniform over its
-symbols; an empty table gives an empty result.
+classes and cells; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,422 +37,401 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm import store
+from lectern.llm import deal, store
 from lectern.llm import textnum as tn
 from lectern.llm.common import held_out, parts
 
-VOCABULARY, WORD_CLASSES, SHAPES, GROUPS = 510, 22, 18, 12
+#: Bits of the hash space, from the number of distinct words.
+LEAST_BITS, MOST_BITS = 8, 16
+#: Cells of a class, clusters of cells, groups of frequent words, dimensions of the projection.
+MEMBERS, CLUSTERS, GROUPS, DIMS = 1024, 24, 24, 12
+#: A cell with this share of the tokens marks a group.
+FREQUENT = 1 / 4000
 #: A word that so many documents of a slice hold is counted before it is sent.
-COMMON = 8
-HASH_BITS, STEPS, RATE, DECAY = 18, 40, 0.6, 1e-7
-#: Partitions of the context counts, a table whose size does not grow with the
-#: corpus; each returns one gradient a step.
-TRAIN_PARTS = 16
+COMMON = 3
+#: (document, word) entries that a task gathers before it deals them out.
+SLICE_ENTRIES = 1_500_000
+STEPS = 80
+#: Penalties of weights with a group and with the class before.
+PRIOR_G, PRIOR_U = 0.5, 3.0
 U64 = np.uint64
-SHAPE_BITS = U64(31)
-
-
-def word_keys(words: tn.Words) -> np.ndarray:
-    """Hash of each word with its shape in the low five bits."""
-    if not len(words.hash):
-        return words.hash
-    data, size = words.data, words.end - words.start
-    last = data[words.end - 1]
-    mark = np.where(last == ord("."), 0, np.where(last == ord(","), 1, 2))
-    high = np.concatenate(([0], np.cumsum(data >= 128)))
-    foreign = (high[words.end] > high[words.start]).astype(np.int64)
-    length = np.where(size <= 4, 0, np.where(size <= 8, 1, 2))
-    return (words.hash & ~SHAPE_BITS) | (mark + 3 * foreign + 6 * length).astype(np.uint64)
 
 
 def learns(ids: list, folds: int, test_fold: int) -> np.ndarray:
     return np.array([i is not None and zlib.crc32(str(i).encode()) % folds != test_fold for i in ids], bool)
 
 
-_DEAL = "slice long, bucket int, kind int, ids binary, keys binary, docs binary, counts binary, extra binary"
-_NAMES = [c.split()[0] for c in _DEAL.split(", ")]
-_TYPES = [pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 5
+_DDL = (
+    "slice long, bucket int, kind int, ids binary, nulls binary, texts binary, words binary, words_more binary, train binary, counts binary, counts_more binary, "
+    "tf binary, tf_more binary, keys binary, sums binary, sums_more binary, places binary, places_more binary, order binary"
+)
+_TYPES = deal.types(_DDL)
 
 
-def _row(*values):
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _TYPES, strict=True)], _NAMES)
+def _pair(name: str, values: np.ndarray) -> dict:
+    one, more = deal.to_bytes(values)
+    return {name: one, f"{name}_more": more}
 
 
-def text_keys(column: pa.Array) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(t) for t in column.cast(pa.binary()).fill_null(b"").to_pylist()], np.uint64).view(np.int64)
+def _read(row: dict, name: str) -> np.ndarray:
+    return deal.from_bytes(row[name], row[f"{name}_more"])
 
 
 def _deal(buckets: int, folds: int, test_fold: int):
-    def run(batches):
-        base, n_slice = TaskContext.get().partitionId() << 32, 0
-        for piece in tn.pieces(batches):
-            words = tn.words_of(piece.column("text"))
-            ids = piece.column("doc_id")
-            train = learns(ids.to_pylist(), folds, test_fold)
-            keys, inverse = np.unique(word_keys(words), return_inverse=True)
-            n = len(train)
-            codes, tf = np.unique(inverse.astype(np.int64) * n + words.docs(), return_counts=True)
-            at, doc = codes // max(n, 1), codes % max(n, 1)
-            holders = np.bincount(at, minlength=len(keys))
-            common = holders >= COMMON
-            sums = np.bincount(at, tf * train[doc], minlength=len(keys)).astype(np.int64)
-            hot = common[at]
-            place = np.cumsum(common) - 1
-            slice_id, n_slice = base + n_slice, n_slice + 1
-            yield _row(slice_id, slice_id % buckets, 1, np.concatenate((ids.fill_null(-1).to_numpy().astype("<i8"), np.asarray(ids.is_null()).astype("<i8"), text_keys(piece.column("text")), words.counts.astype("<i8"))).tobytes(), keys[common].tobytes(), doc[hot].astype("<u4").tobytes(), tf[hot].astype("<u4").tobytes(), place[at[hot]].astype("<u4").tobytes())
-            to = ((keys >> U64(5)) % U64(buckets)).astype(np.int64)
-            at, doc, tf = at[~hot], doc[~hot], tf[~hot]
-            by = np.argsort(to[at], kind="stable")
-            cuts = np.searchsorted(to[at][by], np.arange(buckets + 1))
-            common_at = np.flatnonzero(common)
-            common_by = common_at[np.argsort(to[common_at], kind="stable")]
-            common_cuts = np.searchsorted(to[common_by], np.arange(buckets + 1))
-            for b in range(buckets):
-                x, c = by[cuts[b] : cuts[b + 1]], common_by[common_cuts[b] : common_cuts[b + 1]]
-                if len(x) or len(c):
-                    tagged = tf[x].astype("<u4") | (train[doc[x]].astype("<u4") << np.uint32(31))
-                    yield _row(slice_id, b, 0, None, np.concatenate((keys[at[x]], keys[c])).tobytes(), doc[x].astype("<u4").tobytes(), tagged.tobytes(), sums[c].astype("<i8").tobytes())
-
-    return run
-
-
-def _grouped(batches, name):
-    key, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row[name] != key and rows:
-                yield rows
-                rows = []
-            key = row[name]
-            rows.append(row)
-    if rows:
-        yield rows
+    """Words of slices by bucket.  Of those that COMMON documents hold the
+    header has who holds them, as ranks by falling frequency."""
+
+    def measure(piece):
+        words = tn.words_of(piece.column("text"))
+        keys, inverse = np.unique(words.hash, return_inverse=True)
+        codes, tf = np.unique(words.docs() * max(len(keys), 1) + inverse, return_counts=True)
+        ids = piece.column("doc_id")
+        return keys[codes % max(len(keys), 1)], codes // max(len(keys), 1), tf, words.counts, ids.fill_null(0).to_numpy().astype("<i8"), np.asarray(ids.is_null()), piece.column("text_key").to_numpy().astype("<i8"), learns(ids.to_pylist(), folds, test_fold)
+
+    def pack(slice_id, held):
+        base = np.cumsum([0, *[len(h[3]) for h in held]])
+        keys, tf, n_words, ids, nulls, texts, train = (np.concatenate([h[i] for h in held]) for i in (0, 2, 3, 4, 5, 6, 7))
+        doc, n = np.concatenate([h[1] + b for h, b in zip(held, base, strict=False)]), len(ids)
+        own, inverse, holders = np.unique(keys, return_inverse=True, return_counts=True)
+        common = np.flatnonzero(holders >= COMMON)
+        by = np.argsort(-holders[common], kind="stable")
+        rank = np.zeros(len(own), np.int64)
+        rank[common[by]] = np.arange(len(common))
+        hot = holders[inverse] >= COMMON
+        places = rank[inverse[hot]]
+        sums = np.bincount(inverse, tf * train[doc], minlength=len(own)).astype(np.int64)[common]
+        bits = np.packbits(train).tobytes()
+        yield deal.row(
+            _TYPES, slice=slice_id, bucket=slice_id % buckets, kind=1, ids=ids.tobytes(), nulls=np.packbits(nulls).tobytes(), texts=texts.tobytes(), **_pair("words", n_words), **_pair("counts", np.bincount(doc[hot], minlength=n)),
+            **_pair("tf", tf[hot]), places=np.minimum(places, 65535).astype("<u2").tobytes(), places_more=places[places >= 65535].astype("<u4").tobytes(), order=by.astype("<u4").tobytes(),
+        )
+        at = np.flatnonzero(~hot)
+        to = _bucket(keys[at], buckets)
+        at = at[np.argsort(to, kind="stable")]
+        edges = np.arange(buckets + 1)
+        cuts, common_cuts = np.searchsorted(np.sort(to), edges), np.searchsorted(_bucket(own[common], buckets), edges)
+        for b in np.flatnonzero(np.diff(cuts) + np.diff(common_cuts)).tolist():
+            x, c = at[cuts[b] : cuts[b + 1]], slice(common_cuts[b], common_cuts[b + 1])
+            yield deal.row(_TYPES, slice=slice_id, bucket=b, kind=0, train=bits, **_pair("counts", np.bincount(doc[x], minlength=n)), **_pair("tf", tf[x]), keys=np.concatenate((keys[x], own[common[c]])).tobytes(), **_pair("sums", sums[c]))
+
+    return lambda batches: deal.slices(batches, SLICE_ENTRIES, measure, pack)
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Rises with the key, so that a cell is in one bucket."""
+    return ((keys >> U64(48)) * U64(buckets) >> U64(16)).astype(np.int64)
 
 
 def _count(batches):
-    """Counts of a bucket's words.  Back to the slices: per document the sum
-    of tf * log10(c + 0.1) and the known tokens (kind 0), the counts of common
-    words (kind 0, extra), the headers (kind 1); kind 2: the bucket's sums by
-    shape and its most frequent words."""
-    for rows in _grouped(batches, "bucket"):
-        inner = [r for r in rows if r["kind"] == 0]
-        for r in rows:
-            if r["kind"] == 1:
-                yield _row(r["slice"], 0, 1, r["ids"], r["keys"], r["docs"], r["counts"], r["extra"])
-        if not inner:
-            continue
-        parts_ = []
-        for r in inner:
-            tagged = np.frombuffer(r["counts"], "<u4")
-            tf, train = (tagged & np.uint32(0x7FFFFFFF)).astype(np.int64), tagged >> np.uint32(31)
-            parts_.append((np.frombuffer(r["keys"], "<u8"), tf, np.concatenate((tf * train, np.frombuffer(r["extra"], "<i8")))))
-        keys, inverse = np.unique(np.concatenate([p[0] for p in parts_]), return_inverse=True)
-        c = np.bincount(inverse, np.concatenate([p[2] for p in parts_]), minlength=len(keys)).astype(np.int64)
-        log = np.log10(c + 0.1)
-        at = 0
-        for r, (own, tf, _) in zip(inner, parts_, strict=True):
-            mine = inverse[at : at + len(own)]
-            at += len(own)
-            doc = np.frombuffer(r["docs"], "<u4").astype(np.int64)
-            alone, shared = mine[: len(doc)], mine[len(doc) :]
-            who, where = np.unique(doc, return_inverse=True)
-            total = np.bincount(where, tf * log[alone], minlength=len(who))
-            known = np.bincount(where, tf * (c[alone] > 0), minlength=len(who))
-            yield _row(r["slice"], 0, 0, known.astype("<u4").tobytes(), own[len(doc) :].tobytes(), who.astype("<u4").tobytes(), total.astype("<f8").tobytes(), c[shared].astype("<i8").tobytes())
-        seen = c > 0
-        shape = (keys[seen] & SHAPE_BITS).astype(np.int64)
-        top = np.lexsort((keys, -c))[:VOCABULARY]
-        yield _row(-1, int(inner[0]["bucket"]), 2, None, keys[top].tobytes(), None, c[top].astype("<i8").tobytes(), np.concatenate((np.bincount(shape, c[seen], minlength=32), np.bincount(shape, minlength=32))).astype("<i8").tobytes())
-
-
-def _spread(batches):
-    """Rows of kind 2 one by one: (0, word, count) and (1, place, sum by shape)."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            words, n, sums = np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["counts"], "<i8"), np.frombuffer(r["extra"], "<i8")
-            kind = np.repeat(np.array([0, 1], np.int32), (len(words), len(sums)))
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate((words, np.arange(len(sums))))), pa.array(np.concatenate((n, sums)))], ["kind", "key", "n"])
-
-
-_BASE = "doc_id long, text_key long, n_words long, known long, raw double"
+    """Counts of a bucket's words, back to the slices in the order they came;
+    kind 2: tokens and distinct words of its cells."""
+    headers: list = []
+    inner = deal.inner_rows(batches, headers)
+    for r in headers:
+        yield deal.row(_TYPES, **r)
+    if not inner:
+        return
+    keys, weights, sizes = [], [], []
+    for r in inner:
+        per, tf = _read(r, "counts"), _read(r, "tf")
+        train = np.unpackbits(np.frombuffer(r["train"], np.uint8))[: len(per)]
+        keys.append(np.frombuffer(r["keys"], "<u8"))
+        weights.append(np.concatenate((tf * train[deal.owner(per)], _read(r, "sums"))))
+        sizes.append(len(tf))
+    own, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    c = np.bincount(inverse, np.concatenate(weights), minlength=len(own)).astype(np.int64)
+    at = 0
+    for r, k, n in zip(inner, keys, sizes, strict=True):
+        mine = c[inverse[at : at + len(k)]]
+        at += len(k)
+        yield deal.row(_TYPES, slice=r["slice"], bucket=r["bucket"], kind=0, counts=r["counts"], counts_more=r["counts_more"], tf=r["tf"], tf_more=r["tf_more"], **_pair("words", mine[:n]), **_pair("sums", mine[n:]))
+    seen = c > 0
+    cell = (own[seen] >> U64(48)).astype(np.int64)
+    first, types = deal.runs(cell)
+    if len(first):
+        yield deal.row(_TYPES, slice=-1 - inner[0]["bucket"], bucket=0, kind=2, keys=cell[first].astype("<i8").tobytes(), sums=np.add.reduceat(c[seen], first).astype("<i8").tobytes(), counts=types.astype("<i8").tobytes())
+
+
+_BASE = "doc_id long, text_key long, n_words long, known long, raw double, cells binary, tokens binary, types binary"
+_BASE_TYPES = deal.types(_BASE)
 
 
 def _sum(batches):
     """Per document: words, known words, sum of log10(c + 0.1)."""
-    for rows in _grouped(batches, "slice"):
+    for _, rows in deal.groups(batches, "slice"):
+        if rows[0]["kind"] == 2:
+            for r in rows:
+                yield deal.row(_BASE_TYPES, cells=r["keys"], tokens=r["sums"], types=r["counts"])
+            continue
         head = next(r for r in rows if r["kind"] == 1)
-        ids, null, keys, n_words = np.frombuffer(head["ids"], "<i8").reshape(4, -1)
-        raw, known = np.zeros(len(ids)), np.zeros(len(ids))
-        common = np.frombuffer(head["keys"], "<u8")
-        c = np.zeros(len(common), np.int64)
-        for r in rows:
-            if r["kind"] == 0:
-                who = np.frombuffer(r["docs"], "<u4").astype(np.int64)
-                raw[who] += np.frombuffer(r["counts"], "<f8")
-                known[who] += np.frombuffer(r["ids"], "<u4")
-                c[np.searchsorted(common, np.frombuffer(r["keys"], "<u8"))] = np.frombuffer(r["extra"], "<i8")
-        doc, tf, at = (np.frombuffer(head[k], "<u4").astype(np.int64) for k in ("docs", "counts", "extra"))
-        if len(doc):
-            raw += np.bincount(doc, tf * np.log10(c + 0.1)[at], minlength=len(ids))
-            known += np.bincount(doc, tf * (c[at] > 0), minlength=len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(keys), pa.array(n_words), pa.array(known.astype(np.int64)), pa.array(raw)], [x.split()[0] for x in _BASE.split(", ")])
-
-
-class Symbols:
-    """Ids: vocabulary words, shapes, end; one more as the start's context."""
-
-    def __init__(self, keys: np.ndarray):
-        self.order = np.sort(keys)
-        self.rank = np.argsort(keys)  # place in ``keys`` of each sorted key
-        self.words = len(keys)
-        self.end = self.words + SHAPES
-        self.size, self.start = self.end + 1, self.end + 1
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        out = self.words + (keys & SHAPE_BITS).astype(np.int64)
-        if self.words:
-            at = np.minimum(np.searchsorted(self.order, keys), self.words - 1)
-            hit = self.order[at] == keys
-            out[hit] = self.rank[at[hit]]
-        return out
-
-    def sequence(self, words: tn.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(symbol, previous symbol, last vocabulary word or -1, document)."""
-        n_docs = len(words.first) - 1
-        n = len(words.hash) + n_docs
-        y = np.full(n, self.end, np.int64)
-        doc = np.repeat(np.arange(n_docs), words.counts + 1)
-        if len(words.hash):
-            y[np.arange(len(words.hash)) + words.docs()] = self.of(word_keys(words))
-        first = words.first[:-1] + np.arange(n_docs)
-        u = np.empty(n, np.int64)
-        u[1:] = y[:-1]
-        u[first] = self.start
-        here = np.where(y < self.words, np.arange(n), -1)
-        last = np.empty(n, np.int64)
-        last[1:] = np.maximum.accumulate(here)[:-1]
-        last[first] = -1
-        last = np.where(last >= first[doc], last, -1) if n else last
-        return y, u, np.where(last >= 0, y[last], -1), doc
-
-
-def _matrix(df: DataFrame, symbols: Symbols, cells, width: int, folds: int, test_fold: int) -> DataFrame:
-    """Counts of cells(y, u, last) over the training documents: (cell, n)."""
-    shared = df.sparkSession.sparkContext.broadcast((symbols, cells, width))
+        inner = sorted((r for r in rows if r["kind"] == 0), key=lambda r: r["bucket"])
+        ids, texts = (np.frombuffer(head[k], "<i8") for k in ("ids", "texts"))
+        n = len(ids)
+        raw, known = np.zeros(n), np.zeros(n)
+
+        def add(doc, tf, c, raw=raw, known=known, n=n):
+            raw += np.bincount(doc, tf * np.log10(c + 0.1), minlength=n)
+            known += np.bincount(doc, tf * (c > 0), minlength=n)
+
+        for r in inner:
+            add(deal.owner(_read(r, "counts")), _read(r, "tf"), _read(r, "words"))
+        places = np.frombuffer(head["places"], "<u2").astype(np.int64)
+        places[places == 65535] = np.frombuffer(head["places_more"], "<u4")
+        if len(places):
+            c = np.concatenate([_read(r, "sums") for r in inner])[np.frombuffer(head["order"], "<u4")]
+            add(deal.owner(_read(head, "counts")), _read(head, "tf"), c[places])
+        none = [None] * n
+        nulls = np.unpackbits(np.frombuffer(head["nulls"], np.uint8))[:n].astype(bool)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(texts), pa.array(_read(head, "words")), pa.array(known.astype(np.int64)), pa.array(raw), *[pa.array(none, pa.binary())] * 3], list(_BASE_TYPES))
+
+
+def tokens(words: tn.Words, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell of each token, the end being 2**bits; place of the token before,
+    -1 at a start; document)."""
+    n_docs = len(words.first) - 1
+    doc = np.repeat(np.arange(n_docs), words.counts + 1)
+    y = np.full(len(doc), 1 << bits, np.int64)
+    if len(words.hash):
+        y[np.arange(len(words.hash)) + words.docs()] = (words.hash >> U64(64 - bits)).astype(np.int64)
+    before = np.arange(len(doc)) - 1
+    before[words.first[:-1] + np.arange(n_docs)] = -1
+    return y, before, doc
+
+
+def projection(bits: int) -> np.ndarray:
+    """Whole numbers for each cell as a left neighbour; sums of them are exact."""
+    return np.random.default_rng(bits).integers(-64, 65, ((1 << bits) + 1, DIMS))
+
+
+def _neighbours(bits: int, folds: int, test_fold: int, ranges: int):
+    """Sums of the projections of the cells before each cell, by ranges of cells."""
 
     def run(batches):
-        own, code, size = shared.value
-        total = np.zeros(size, np.int64)
+        vectors, size = projection(bits), (1 << bits) + 1
+        total = np.zeros((size, DIMS), np.int64)
         for piece in tn.pieces(batches):
-            train = learns(piece.column("doc_id").to_pylist(), folds, test_fold)
-            y, u, last, doc = own.sequence(tn.words_of(piece.column("text")))
-            total += np.bincount(code(y, u, last)[train[doc]], minlength=size)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 20)]), pa.array(total[at[i : i + (1 << 20)]])], ["cell", "n"])
+            y, before, doc = tokens(tn.words_of(piece.column("text")), bits)
+            at = np.flatnonzero((before >= 0) & learns(piece.column("doc_id").to_pylist(), folds, test_fold)[doc])
+            for d in range(DIMS):
+                total[:, d] += np.bincount(y[at], vectors[y[before[at]], d], minlength=size).astype(np.int64)
+        for b, x in enumerate(np.array_split(total, ranges)):
+            if x.any():
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.astype("<i4").tobytes()])], ["bucket", "sums"])
 
-    return df.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return run
 
 
-class _Pair:
-    """Code of (last vocabulary word, symbol)."""
+def _added(batches):
+    total = None
+    for batch in batches:
+        for r in batch.to_pylist():
+            x = np.frombuffer(r["sums"], "<i4" if total is None or len(r["sums"]) * 2 == total.nbytes else "<i8").astype(np.int64)
+            total, bucket = x if total is None else total + x, r["bucket"]
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([total.astype("<i8").tobytes()])], ["bucket", "sums"])
 
-    def __init__(self, symbols: Symbols):
-        self.k = symbols.size
 
-    def __call__(self, y, u, last):
-        return (last + 1) * self.k + y
+def _means(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 25) -> np.ndarray:
+    """Cluster of each row: weighted k-means from far apart beginnings."""
+    if len(x) <= k:
+        return np.arange(len(x))
+    rng = np.random.default_rng(3)
+    centre = [x[int(np.argmax(weight))]]
+    for _ in range(k - 1):
+        far = np.min([((x - c) ** 2).sum(axis=1) for c in centre], axis=0) * weight
+        centre.append(x[int(rng.choice(len(x), p=far / far.sum()))] if far.sum() > 0 else x[0])
+    c = np.stack(centre)
+    for _ in range(rounds):
+        own = np.argmin((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1), axis=1)
+        for g in range(k):
+            if weight[own == g].sum() > 0:
+                c[g] = np.average(x[own == g], axis=0, weights=weight[own == g])
+    return own
+
+
+class Cells:
+    """Order of the cells by class, the classes' edges in it, groups."""
+
+    def __init__(self, bits: int, count: np.ndarray, sums: np.ndarray):
+        """count and sums of the projections of the cells and, last, the end."""
+        self.bits, n = bits, 1 << bits
+        every = sums.sum(axis=0) / max(count.sum(), 1)
+        x = ((sums + 8 * every) / (count[:, None] + 8) - every)[:n]
+        cluster = _means(x, np.minimum(count[:n], 1000) + 1e-3, CLUSTERS)
+        order = np.lexsort((np.arange(n), -count[:n], cluster))
+        edges = [0]
+        for c in np.unique(cluster):
+            size = int((cluster == c).sum())
+            pieces = -(-size // MEMBERS)
+            edges += [edges[-1] + size * (i + 1) // pieces for i in range(pieces)]
+        self.edges = np.array([*edges, n + 1])
+        self.place = np.empty(n + 1, np.int64)
+        self.place[order], self.place[n] = np.arange(n), n
+        self.classes = len(self.edges) - 1
+        self.of = deal.owner(np.diff(self.edges))[self.place]  # class of each cell
+        frequent = np.flatnonzero(count[:n] >= max(2, FREQUENT * count.sum()))
+        self.group = np.zeros(n + 1, np.int64)
+        if len(frequent):
+            self.group[frequent] = _means(x[frequent], count[frequent].astype(float), GROUPS) + 1
+
+    def contexts(self, words: tn.Words) -> tuple[np.ndarray, ...]:
+        """(cell, its place, its class, class before, group of the last frequent cell, document)."""
+        y, before, doc = tokens(words, self.bits)
+        u = np.where(before >= 0, self.of[y[before]], self.classes)
+        mark = np.where(self.group[y] > 0, np.arange(len(y)), -1)
+        last = np.append(-1, np.maximum.accumulate(mark)[:-1]) if len(y) else mark
+        start = np.concatenate(([0], np.cumsum(words.counts + 1)))[:-1]
+        g = np.where(last >= start[doc], self.group[y[last]], 0)
+        return y, self.place[y], self.of[y], u, g, doc
+
+
+def _sparse(x: np.ndarray) -> dict:
+    flat = x.ravel()
+    at = np.flatnonzero(flat)
+    return {**_pair("places", np.diff(at, prepend=0)), **_pair("counts", flat[at])}
+
+
+_STATS = "bucket int, places binary, places_more binary, counts binary, counts_more binary"
+_STATS_TYPES = deal.types(_STATS)
+
+
+def _statistics(shared, folds: int, test_fold: int):
+    """Counts of a task's tokens, by class: of its cells with the groups, of
+    its cells with the classes before, of itself with both; last, of all classes."""
 
+    def run(batches):
+        cells: Cells = shared.value
+        k, n = cells.classes, len(cells.place)
+        by_g, by_u, by_c = np.zeros((GROUPS + 1) * n, np.int64), np.zeros((k + 1) * n, np.int64), np.zeros((k + 1) * (GROUPS + 1) * k, np.int64)
+        for piece in tn.pieces(batches):
+            _, place, c, u, g, doc = cells.contexts(tn.words_of(piece.column("text")))
+            at = np.flatnonzero(learns(piece.column("doc_id").to_pylist(), folds, test_fold)[doc])
+            place, c, u, g = place[at], c[at], u[at], g[at]
+            for total, code in ((by_g, g * n + place), (by_u, u * n + place), (by_c, (u * (GROUPS + 1) + g) * k + c)):
+                values, counts = np.unique(code, return_counts=True)
+                total[values] += counts
+        by_g, by_u, by_c = by_g.reshape(-1, n), by_u.reshape(-1, n), by_c.reshape(k + 1, GROUPS + 1, k)
+        for c, (a, b) in enumerate(zip(cells.edges[:-1].tolist(), cells.edges[1:].tolist(), strict=True)):
+            x = np.concatenate((by_g[:, a:b].ravel(), by_u[:, a:b].ravel(), by_c[:, :, c].ravel()))
+            if x.any():
+                yield deal.row(_STATS_TYPES, bucket=c, **_sparse(x))
+        if by_c.any():
+            yield deal.row(_STATS_TYPES, bucket=k, **_sparse(np.concatenate((by_c.sum(axis=0).ravel(), by_c.sum(axis=1).ravel(), by_c.sum(axis=2).ravel()))))
+
+    return run
 
-class _Triple:
-    """Code of (previous symbol, skip group, symbol)."""
 
-    def __init__(self, symbols: Symbols, groups: np.ndarray):
-        self.k, self.groups = symbols.size, np.append(groups, 0)  # last = -1 reads the end
+def fit(by_g: np.ndarray, by_u: np.ndarray, both: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (groups, members), (classes before, members) of a softmax over
+    members whose score is their sum.  ``both`` counts the contexts (classes
+    before, groups).  Gradients of the penalised likelihood over its curvature,
+    damped; the first weights hold what a member has alone."""
+    a = np.zeros(by_g.shape) + np.log(by_g.sum(axis=0) + 0.1)
+    first, b = a[0].copy(), np.zeros(by_u.shape)
+    for _ in range(steps):
+        ea, eb = np.exp(a), np.exp(b)
+        scale = both / (eb @ ea.T)
+        want_g, want_u = ea * (scale.T @ eb), eb * (scale @ ea)
+        a += np.clip(0.5 * (by_g - want_g - PRIOR_G * (a - first)) / (want_g + PRIOR_G), -1, 1)
+        b += np.clip(0.5 * (by_u - want_u - PRIOR_U * b) / (want_u + PRIOR_U), -1, 1)
+    return a, b
 
-    def __call__(self, y, u, last):
-        return (u * (GROUPS + 1) + self.groups[last]) * self.k + y
 
+def _train(shared):
+    """Sums the statistics of a class and fits it."""
 
-def group_words(pairs: np.ndarray, words: int) -> np.ndarray:
-    """Groups 1..GROUPS of vocabulary words by what follows them (k-means of
-    square roots of frequencies); pairs: (words + 1, symbols) counts."""
-    x = np.sqrt(pairs[1:] / np.maximum(pairs[1:].sum(axis=1, keepdims=True), 1))
-    if not words:
-        return np.zeros(0, np.int64)
-    rng = np.random.default_rng(3)
-    centre = [x[0]]
-    for _ in range(min(GROUPS, words) - 1):
-        far = np.min([((x - c) ** 2).sum(axis=1) for c in centre], axis=0)
-        centre.append(x[int(rng.choice(words, p=far / far.sum()))] if far.sum() > 0 else x[0])
-    centre = np.stack(centre)
-    for _ in range(30):
-        own = np.argmin(((x[:, None, :] - centre[None]) ** 2).sum(axis=2), axis=1)
-        centre = np.stack([x[own == g].mean(axis=0) if (own == g).any() else centre[g] for g in range(len(centre))])
-    return own + 1
+    def run(batches):
+        cells: Cells = shared.value
+        k = cells.classes
+        total, bucket = None, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                bucket = r["bucket"]
+                m = k if bucket == k else int(cells.edges[bucket + 1] - cells.edges[bucket])
+                if total is None:
+                    total = np.zeros((GROUPS + 1) * m + (k + 1) * m + (k + 1) * (GROUPS + 1))
+                total[np.cumsum(_read(r, "places"))] += _read(r, "counts")
+        if total is not None:
+            cut = (GROUPS + 1) * m, (GROUPS + 1) * m + (k + 1) * m
+            a, b = fit(total[: cut[0]].reshape(-1, m), total[cut[0] : cut[1]].reshape(-1, m), total[cut[1] :].reshape(k + 1, -1))
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([a.astype("<f4").tobytes()]), pa.array([b.astype("<f4").tobytes()])], ["bucket", "a", "b"])
+
+    return run
 
 
 class Model:
-    """Weights of hashed features and the classes of the symbols."""
-
-    def __init__(self, symbols: int, words: int):
-        self.symbols, self.contexts = symbols, symbols + 1
-        size = max(1, -(-words // WORD_CLASSES))
-        self.of = np.where(np.arange(symbols) < words, np.arange(symbols) // size, np.arange(symbols) - words + -(-words // size))
-        self.classes = int(self.of.max()) + 1
-        self.weights = np.zeros(1 << HASH_BITS, np.float32)
-        self.bias = np.zeros(self.classes + symbols, np.float32)
-
-    def features(self, u: np.ndarray, g: np.ndarray) -> np.ndarray:
-        """(contexts, 3, classes + symbols) places in the weights: the hash of
-        each context's part, plus the symbol, around the end of the table."""
-        y = np.arange(self.classes + self.symbols, dtype=np.int32)
-        kinds = np.stack([u + 1, g + 100_000, 200_000 + u * (GROUPS + 1) + g], axis=1)
-        at = (tn.mix(kinds.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - HASH_BITS)).astype(np.int32)
-        return (at[:, :, None] + y) & np.int32((1 << HASH_BITS) - 1)
-
-    def log_probabilities(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Natural logs: (contexts, classes), and of symbols within their class."""
-        score = self.bias + self.weights[at].sum(axis=1)
-        top, low = score[:, : self.classes], score[:, self.classes :]
-        top = top - top.max(axis=1, keepdims=True)
-        top = top - np.log(np.exp(top).sum(axis=1, keepdims=True))
-        low = np.clip(low, -30, 30)
-        edges = np.flatnonzero(np.append(True, self.of[1:] != self.of[:-1]))
-        total = np.add.reduceat(np.exp(low), edges, axis=1)
-        return top, low - np.log(total)[:, self.of]
-
-    def gradient(self, u: np.ndarray, g: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Of the negative log-likelihood of counts (contexts, symbols)."""
-        at = self.features(u, g)
-        top, low = self.log_probabilities(at)
-        edges = np.flatnonzero(np.append(True, self.of[1:] != self.of[:-1]))
-        by_class = np.add.reduceat(counts, edges, axis=1)
-        loss = -float((by_class * top).sum() + (counts * low).sum())
-        error = np.concatenate((by_class.sum(axis=1, keepdims=True) * np.exp(top) - by_class, by_class[:, self.of] * np.exp(low) - counts), axis=1)
-        out = np.zeros(1 << HASH_BITS)
-        for k in range(at.shape[1]):
-            out += np.bincount(at[:, k].ravel(), error.ravel(), minlength=1 << HASH_BITS)
-        return out, error.sum(axis=0), loss
-
-
-def train(cells: DataFrame, symbols: Symbols, steps: int = STEPS) -> Model:
-    """cells (cell, n) of _Triple codes.  Each partition holds whole contexts,
-    returns its gradient, and the driver adds TRAIN_PARTS of these of fixed
-    size a step."""
-    model = Model(symbols.size, symbols.words)
-    k = symbols.size
-    packed = cells.select((F.col("cell") / k).cast("long").alias("context"), (F.col("cell") % k).cast("int").alias("y"), "n")
-    packed = store.table(packed.repartition(TRAIN_PARTS, "context").sortWithinPartitions("context", "y"), "contexts")
-    first = packed.groupBy("y").agg(F.sum("n").alias("n")).collect()  # at most one row a symbol
-    totals = np.full(k, 0.5)
-    for r in first:
-        totals[r["y"]] += r["n"]
-    edges = np.flatnonzero(np.append(True, model.of[1:] != model.of[:-1]))
-    by_class = np.add.reduceat(totals, edges)
-    model.bias = np.concatenate((np.log(by_class / by_class.sum()), np.log(totals / by_class[model.of]))).astype(np.float32)
-    n_total = float(totals.sum())
-    speed_w, speed_b = np.full(1 << HASH_BITS, 1e-12), np.full(len(model.bias), 1e-12)
-    for step in range(steps):
-        shared = packed.sparkSession.sparkContext.broadcast(model)
-
-        def run(batches, shared=shared):
-            own = shared.value
-            sums = [np.zeros(1 << HASH_BITS), np.zeros(len(own.bias)), 0.0]
-
-            def add(context, y, n):
-                ctx, row = np.unique(context, return_inverse=True)
-                for i in range(0, len(ctx), 512):
-                    pick = (row >= i) & (row < i + 512)
-                    counts = np.zeros((min(512, len(ctx) - i), own.symbols))
-                    counts[row[pick] - i, y[pick]] = n[pick]
-                    found = own.gradient(ctx[i : i + 512] // (GROUPS + 1), ctx[i : i + 512] % (GROUPS + 1), counts)
-                    for j, x in enumerate(found):
-                        sums[j] = sums[j] + x
-
-            held = []
-            for batch in batches:
-                held.append([batch.column(c).to_numpy() for c in ("context", "y", "n")])
-            if held:
-                add(*(np.concatenate([h[i] for h in held]) for i in range(3)))
-                yield pa.RecordBatch.from_arrays([pa.array([sums[0].astype("<f4").tobytes()]), pa.array([sums[1].tobytes()]), pa.array([sums[2]])], ["w", "b", "loss"])
-
-        w, b, loss = np.zeros(1 << HASH_BITS), np.zeros(len(model.bias)), 0.0
-        for row in packed.mapInArrow(run, "w binary, b binary, loss double").toLocalIterator():
-            w, b, loss = w + np.frombuffer(row["w"], "<f4"), b + np.frombuffer(row["b"]), loss + row["loss"]
-        shared.unpersist()
-        w, b = w / n_total + DECAY * model.weights, b / n_total
-        speed_w, speed_b = speed_w + w * w, speed_b + b * b
-        pace = RATE / (1 + step / steps)
-        model.weights = (model.weights - pace * w / np.sqrt(speed_w)).astype(np.float32)
-        model.bias = (model.bias - 0.1 * pace * b / np.sqrt(speed_b)).astype(np.float32)
-    store.drop(packed)
-    return model
+    """Natural logs: scores of cells with groups and with classes before, and
+    by context (class before, group, class) what turns them to probabilities."""
+
+    def __init__(self, cells: Cells, found: dict[int, tuple[bytes, bytes]]):
+        k, n = cells.classes, len(cells.place)
+        self.a, self.b = np.zeros((GROUPS + 1, n), np.float32), np.zeros((k + 1, n), np.float32)
+        top_a, top_b = np.zeros((GROUPS + 1, k)), np.zeros((k + 1, k))
+        for c, (a, b) in found.items():
+            x, y = np.frombuffer(a, "<f4").reshape(GROUPS + 1, -1), np.frombuffer(b, "<f4").reshape(k + 1, -1)
+            if c == k:
+                top_a, top_b = x.astype(float), y.astype(float)
+            else:
+                self.a[:, cells.edges[c] : cells.edges[c + 1]], self.b[:, cells.edges[c] : cells.edges[c + 1]] = x, y
+        top = top_b[:, None, :] + top_a[None, :, :]
+        low = np.empty((k + 1, GROUPS + 1, k))
+        for c in range(k):
+            x = slice(cells.edges[c], cells.edges[c + 1])
+            low[:, :, c] = np.log(np.exp(self.b[:, x].astype(float)) @ np.exp(self.a[:, x].astype(float)).T)
+        self.context = (top - np.log(np.exp(top).sum(axis=2, keepdims=True)) - low).astype(np.float32)
+
+    def log(self, place: np.ndarray, c: np.ndarray, u: np.ndarray, g: np.ndarray) -> np.ndarray:
+        return self.context[u, g, c] + self.a[g, place] + self.b[u, place]
 
 
 def score_documents(docs: DataFrame, folds: int = 10, test_fold: int = 0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    n = parts(docs)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = own.mapInArrow(_deal(n, folds, test_fold), _DEAL).repartition(n, "bucket").sortWithinPartitions("bucket")
-    counted = store.table(dealt.mapInArrow(_count, _DEAL), "counts")
-    base = store.table(counted.filter("kind < 2").repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(_sum, _BASE), "base")
-    sums = counted.filter("kind = 2").select("keys", "counts", "extra").mapInArrow(_spread, "kind int, key long, n long")
-    shape = np.zeros(64, np.int64)
-    for r in sums.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():  # 64 rows
-        shape[r["key"]] = r["n"]
-    shape_tokens, shape_types = shape[:32], shape[32:]
-    best = sums.filter("kind = 0 and n > 0").orderBy(F.col("n").desc(), "key").limit(VOCABULARY).collect()
-    keys, c = np.array([r["key"] for r in best], np.int64).view(np.uint64), np.array([r["n"] for r in best], np.int64)
-    store.drop(counted)
-    train_docs = own.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != test_fold).count()
-    total = int(shape_tokens.sum()) + train_docs
-    types = int(shape_types.sum()) + (1 if train_docs else 0)
-    symbols = Symbols(keys)
-
-    pairs = np.zeros((symbols.words + 1) * symbols.size)
-    for r in _matrix(own, symbols, _Pair(symbols), len(pairs), folds, test_fold).toLocalIterator():  # of fixed size
-        pairs[r["cell"]] = r["n"]
-    groups = group_words(pairs.reshape(symbols.words + 1, -1), symbols.words)
-    code = _Triple(symbols, groups)
-    model = train(_matrix(own, symbols, code, (symbols.size + 1) * (GROUPS + 1) * symbols.size, folds, test_fold), symbols)
-
-    mass = np.full(SHAPES, 0.1)
-    shape = (keys & SHAPE_BITS).astype(np.int64)
-    mass += shape_tokens[:SHAPES] + 0.1 * shape_types[:SHAPES] - np.bincount(shape, c + 0.1, minlength=SHAPES)[:SHAPES]
-    raw_of = np.zeros(symbols.size)
-    raw_of[: symbols.words] = np.log10(c + 0.1)
-    per_shape = np.zeros(symbols.size)
-    per_shape[symbols.words : symbols.end] = np.log10(np.maximum(mass, 0.1))
-    shared = docs.sparkSession.sparkContext.broadcast((symbols, code, model, raw_of + per_shape))
+    n, spark = parts(docs), docs.sparkSession
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    back = deal.by_bucket(own.mapInArrow(_deal(n, folds, test_fold), _DDL), n).mapInArrow(_count, _DDL)
+    base = store.table(deal.by_slice(back, n).mapInArrow(_sum, _BASE), "base")
+
+    tokens_of, types_of = np.zeros(1 << MOST_BITS, np.int64), np.zeros(1 << MOST_BITS, np.int64)
+    for r in base.filter("cells is not null").select("cells", "tokens", "types").collect():  # at most 2**16 cells, each in one row
+        at = np.frombuffer(r["cells"], "<i8")
+        tokens_of[at], types_of[at] = np.frombuffer(r["tokens"], "<i8"), np.frombuffer(r["types"], "<i8")
+    base = base.filter("cells is null")
+    train_docs = base.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, test_fold)).count()
+    total, types = int(tokens_of.sum()) + train_docs, int(types_of.sum()) + (1 if train_docs else 0)
+    bits = int(np.clip(int(np.ceil(np.log2(max(types, 2)))) - 1, LEAST_BITS, MOST_BITS))
+    count, kinds = (x.reshape(1 << bits, -1).sum(axis=1) for x in (tokens_of, types_of))
+
+    ranges = min(n, 32)
+    near = deal.by_bucket(own.select("doc_id", "text").mapInArrow(_neighbours(bits, folds, test_fold, ranges), "bucket int, sums binary"), ranges)
+    sums = [np.zeros((len(x), DIMS), np.int64) for x in np.array_split(np.arange((1 << bits) + 1), ranges)]
+    for r in near.mapInArrow(_added, "bucket int, sums binary").collect():  # of the size of the hash space
+        sums[r["bucket"]] = np.frombuffer(r["sums"], "<i8").reshape(-1, DIMS)
+    cells = Cells(bits, np.append(count, train_docs), np.concatenate(sums))
+
+    shared_cells = spark.sparkContext.broadcast(cells)
+    stats = deal.by_bucket(own.select("doc_id", "text").mapInArrow(_statistics(shared_cells, folds, test_fold), _STATS), cells.classes + 1)
+    found = {r["bucket"]: (r["a"], r["b"]) for r in stats.mapInArrow(_train(shared_cells), "bucket int, a binary, b binary").toLocalIterator()}
+    minus = np.append(np.log10(count + 0.1 * kinds + 0.1), 0.0)
+    shared = spark.sparkContext.broadcast((cells, Model(cells, found), minus))
 
     def run(batches):
-        own_symbols, own_code, own_model, minus = shared.value
-        u = np.arange(own_symbols.size + 1)
-        table = np.empty((len(u) * (GROUPS + 1), own_symbols.size), np.float32)
-        for i in range(0, len(table), 512):
-            at = np.arange(i, min(i + 512, len(table)))
-            top, low = own_model.log_probabilities(own_model.features(at // (GROUPS + 1), at % (GROUPS + 1)))
-            table[at] = (top[:, own_model.of] + low) / np.log(10) - minus[None]
-        flat = table.ravel()
+        own_cells, model, below = shared.value
         for piece in tn.pieces(batches):
-            words = tn.words_of(piece.column("text"))
-            y, before, last, doc = own_symbols.sequence(words)
-            got = np.bincount(doc, flat[own_code(y, before, last)], minlength=len(piece))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(text_keys(piece.column("text"))), pa.array(got)], ["doc_id", "text_key", "model"])
+            y, place, c, u, g, doc = own_cells.contexts(tn.words_of(piece.column("text")))
+            got = np.bincount(doc, model.log(place, c, u, g) / np.log(10) - below[y], minlength=len(piece))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_key"), pa.array(got)], ["doc_id", "text_key", "model"])
 
     scored = own.mapInArrow(run, "doc_id long, text_key long, model double")
-    both = scored.join(base.dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "n_words", "known", "raw"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
-    end = float(np.log10(train_docs + 0.1))
-    below = float(np.log10(total + 0.1 * (types + 1)))
-    tokens = F.col("n_words") + 1
+    once = base.dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "n_words", "known", "raw")
+    both = scored.join(once, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
+    end, below = float(np.log10(train_docs + 0.1)), float(np.log10(total + 0.1 * (types + 1)))
+    n_tokens = F.col("n_words") + 1
     return both.select(
-        "doc_id", held_out("doc_id", folds, test_fold).alias("held_out"), tokens.alias("n_tokens"),
+        "doc_id", held_out("doc_id", folds, test_fold).alias("held_out"), n_tokens.alias("n_tokens"),
         (F.col("known") + (1 if train_docs else 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("raw") + end - tokens * below).alias("base_score"), (F.col("model") + F.col("raw")).alias("score"),
+        (F.col("raw") + end - n_tokens * below).alias("base_score"), (F.col("model") + F.col("raw")).alias("score"),
     )
