@@ -402,7 +402,7 @@ def score_documents(docs: DataFrame, folds: int = 10, test_fold: int = 0) -> Dat
     base = base.filter("cells is null")
     train_docs = base.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, test_fold)).count()
     total, types = int(tokens_of.sum()) + train_docs, int(types_of.sum()) + (1 if train_docs else 0)
-    bits = int(np.clip(int(np.ceil(np.log2(max(types, 2)))) - 1, LEAST_BITS, MOST_BITS))
+    bits = int(np.clip(int(np.ceil(np.log2(max(types, 2)))) - 3, LEAST_BITS, MOST_BITS))
     count, kinds = (x.reshape(1 << bits, -1).sum(axis=1) for x in (tokens_of, types_of))
 
     ranges = min(n, 32)
