@@ -18,17 +18,23 @@ IMPLIED = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr
 
 
 class _Reader(HTMLParser):
+    """Gathers the data of each block; blocks are paragraphs of their own, and
+    so are stretches between blank lines inside one."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
-        self.parts: list[str] = []
+        self.blocks: list[list[str]] = [[]]
         self.headings: list[str] = []
         self.heading: list[str] | None = None
 
+    def _leave(self, tag: str) -> None:
+        if tag in BLOCKS and not DROPPED.intersection(self.open):
+            self.blocks.append([])
+
     def _end(self, tag: str) -> None:
         self.open.remove(tag)
-        if tag in BLOCKS and not DROPPED.intersection(self.open):
-            self.parts.append("\n\n")
+        self._leave(tag)
         if tag in ("h1", "h2", "h3") and self.heading is not None:
             self.headings.append(" ".join(" ".join(self.heading).split()))
             self.heading = None
@@ -37,8 +43,7 @@ class _Reader(HTMLParser):
         while self.open and self.open[-1] in IMPLIED.get(tag, ()):
             self._end(self.open[-1])
         if tag in VOID:
-            if tag in BLOCKS and not DROPPED.intersection(self.open):
-                self.parts.append("\n\n")
+            self._leave(tag)
             return
         self.open.append(tag)
         if tag in ("h1", "h2", "h3"):
@@ -52,21 +57,26 @@ class _Reader(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not DROPPED.intersection(self.open):
-            self.parts.append(data)
+            self.blocks[-1].append(data)
             if self.heading is not None:
                 self.heading.append(data)
 
+    def paragraphs(self) -> list[str]:
+        """White space inside lines collapses, lines are joined by a space."""
+        pieces = (p for block in self.blocks for p in BLANK.split(LINE_END.sub("\n", " ".join(block))))
+        lines = ([RUN.sub(" ", line).strip() for line in p.split("\n")] for p in pieces)
+        return [" ".join(filter(None, own)) for own in lines if any(own)]
+
+
+LINE_END, BLANK, RUN = re.compile(r"\r\n?"), re.compile(r"\n\s*\n"), re.compile(r"[ \t]+")
+
 
 def read(html: str | None) -> tuple[str, str]:
     """(text, first heading)."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
-    text = " ".join(reader.parts).replace("\r\n", "\n").replace("\r", "\n")
-    lines = [re.sub(r"[ \t]+", " ", line).strip() for line in text.split("\n")]
-    blocks = re.split(r"\x00+", "\n".join(line or "\x00" for line in lines).replace("\n\x00", "\x00").replace("\x00\n", "\x00"))
-    paragraphs = [" ".join(b.split("\n")) for b in blocks]
-    return "\n\n".join(p for p in paragraphs if p), next((h for h in reader.headings if h), "")
+    return "\n\n".join(reader.paragraphs()), next((h for h in reader.headings if h), "")
 
 
 _PAGE = T.StructType([T.StructField("text", T.StringType()), T.StructField("heading", T.StringType())])

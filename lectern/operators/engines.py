@@ -7,7 +7,9 @@ in any case; what ships here are deterministic stand-ins.
 
 from __future__ import annotations
 
+import functools
 import json
+import logging
 import time
 from collections.abc import Callable, Iterator
 
@@ -20,6 +22,8 @@ from lectern.functions.speech import EMOTIONS, Rules
 from lectern.functions.text import unfence
 from lectern.sources.audio import wav_bytes
 
+log = logging.getLogger(__name__)
+
 
 class VoiceEngine:
     """name, sample_rate and the life of an engine."""
@@ -61,10 +65,22 @@ class ToneEngine(SilentEngine):
 ENGINES: dict[str, Callable[[], VoiceEngine]] = {"silent": SilentEngine, "tone": ToneEngine}
 
 
-def get_engine(name: str) -> VoiceEngine:
+#: Transcribers by name: model name -> factory for transcribe().  None ships.
+TRANSCRIBERS: dict[str, Callable[[str], Callable[[], Callable[[bytes], str]]]] = {}
+
+
+def engine_factory(name: str, voice: str = "") -> Callable[[], VoiceEngine]:
+    """Makes the named engine; the voice goes to engines that take one, by
+    name or as the path of a reference."""
     if name not in ENGINES:
         raise ValueError(f"unknown engine {name!r}; known: {', '.join(sorted(ENGINES))}")
-    return ENGINES[name]()
+    kind = ENGINES[name]
+    takes = next((f for f in ("voice", "reference") if f in getattr(kind, "__dataclass_fields__", ())), None)
+    return functools.partial(kind, **{takes: voice}) if voice and takes else kind
+
+
+def get_engine(name: str, voice: str = "") -> VoiceEngine:
+    return engine_factory(name, voice)()
 
 
 def with_retries(call: Callable[[], object], attempts: int, delay: Callable[[int], float], sleep: Callable[[float], None] = time.sleep) -> object:
@@ -87,17 +103,23 @@ def doubling_delay(k: int) -> float:
     return float(min(2**k, 60))
 
 
-def synthesize(chunks: DataFrame, engine: str = "silent", factory: Callable[[], VoiceEngine] | None = None) -> DataFrame:
+def synthesize(chunks: DataFrame, engine: str = "silent", factory: Callable[[], VoiceEngine] | None = None, voice: str = "") -> DataFrame:
     """chunks (book_id, chapter_index, chunk_index, sentences array<struct<text,
     emotion, intensity, speed, pause_samples>>) -> content (WAV),
-    duration_seconds, sample_rate, failed (sentences that became silence)."""
-    make = factory or ENGINES.get(engine)
-    if make is None:
-        get_engine(engine)
+    duration_seconds, sample_rate, failed (sentences that became silence).
+    Where an engine does not start, or a chunk cannot be made into sound at
+    all, content is null, so that its chapter can be skipped."""
+    make = factory or engine_factory(engine, voice)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = make()
-        own.initialize()
+        try:
+            own.initialize()
+        except Exception:
+            log.exception("engine %s does not start", own.name)
+            for pdf in frames:
+                yield pdf[["book_id", "chapter_index", "chunk_index"]].assign(content=None, duration_seconds=0.0, sample_rate=own.sample_rate, failed=pdf["sentences"].map(len).astype("int32"))
+            return
         try:
             for pdf in frames:
                 rows = []
@@ -109,8 +131,13 @@ def synthesize(chunks: DataFrame, engine: str = "silent", factory: Callable[[],
                         except Exception:  # a sentence that fails is silence of its usual length
                             x, failed = np.zeros(int(own.sample_rate * max(1.0, len(s["text"]) / 15.0)), np.float32), failed + 1
                         pieces += [x, np.zeros(s["pause_samples"], np.float32)]
-                    x = np.concatenate(pieces) if pieces else np.zeros(0, np.float32)
-                    rows.append((book, chapter, chunk, wav_bytes(x, own.sample_rate), len(x) / own.sample_rate, own.sample_rate, failed))
+                    try:
+                        x = np.concatenate(pieces) if pieces else np.zeros(0, np.float32)
+                        content = wav_bytes(x, own.sample_rate)
+                    except Exception:
+                        log.exception("chunk %s of chapter %s of %s has no sound", chunk, chapter, book)
+                        x, content = np.zeros(0, np.float32), None
+                    rows.append((book, chapter, chunk, content, len(x) / own.sample_rate, own.sample_rate, failed))
                 yield pd.DataFrame(rows, columns=["book_id", "chapter_index", "chunk_index", "content", "duration_seconds", "sample_rate", "failed"])
         finally:
             own.shutdown()

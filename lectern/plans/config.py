@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import os
+import re
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -27,6 +28,8 @@ class Emotion:
     batch_size: int = 20
     temperature: float = 0.3
     api_key: str = ""
+    url: str = ""
+    model: str = ""
 
 
 @dataclass(frozen=True)
@@ -96,7 +99,8 @@ def build(kind: type, values: dict[str, Any]) -> Any:
 
 def parse_yaml(text: str) -> dict[str, Any]:
     """Nested mappings of scalars, the part of YAML that settings need; PyYAML
-    where it is installed."""
+    where it is installed.  Without it lists, block scalars, flow collections,
+    anchors and lines that are no pair raise ValueError."""
     try:
         import yaml
     except ImportError:
@@ -106,22 +110,27 @@ def parse_yaml(text: str) -> dict[str, Any]:
     root: dict[str, Any] = {}
     levels: list[tuple[int, dict[str, Any]]] = [(-1, root)]
     for raw in text.splitlines():
-        line = raw.split(" #", 1)[0].rstrip() if not raw.lstrip().startswith("#") else ""
-        if not line.strip():
+        if raw.strip() in ("", "---") or raw.lstrip().startswith("#"):
             continue
-        indent, (key, _, value) = len(line) - len(line.lstrip()), line.strip().partition(":")
-        while levels[-1][0] >= indent:
+        found = PAIR.match(raw)
+        value = found and (found["value"] or "")
+        if not found or value[:1] in (*"[{|>&*!%@`",):
+            raise ValueError(f"cannot read this line of settings without PyYAML: {raw.strip()!r}")
+        while levels[-1][0] >= len(found["indent"]):
             levels.pop()
-        value = value.strip()
         if value:
-            levels[-1][1][key.strip()] = _scalar(value)
+            levels[-1][1][found["key"]] = _scalar(value)
         else:
             child: dict[str, Any] = {}
-            levels[-1][1][key.strip()] = child
-            levels.append((indent, child))
+            levels[-1][1][found["key"]] = child
+            levels.append((len(found["indent"]), child))
     return root
 
 
+#: A key with a scalar, quoted or not, and a comment.
+PAIR = re.compile(r"""^(?P<indent> *)(?P<key>[A-Za-z0-9_.-]+) *:(?: +(?P<value>"[^"\\]*"|'[^']*'|[^\s"'#-](?:[^#]|(?<=\S)#)*?|-?[\d.][^\s#]*)?)? *(?: #.*)?$""")
+
+
 def _scalar(value: str) -> Any:
     if value[0] == value[-1] and value[0] in "\"'" and len(value) > 1:
         return value[1:-1]

@@ -89,15 +89,24 @@ def loudness_stats(log: Column) -> Column:
     return F.struct(*[F.coalesce(p[n].cast("double"), F.lit(d)).alias(n) for n, d in names])
 
 
-def joined_wav(parts: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """parts (keys, order, content) -> one WAV per key group, in order.  The
-    group is one chapter; its size is that of its audio."""
+def finished(x: np.ndarray, rate: int, trim: bool, loudness: float | None, new_rate: int | None) -> tuple[np.ndarray, int]:
+    """Trimmed, levelled, resampled, in this order.  A chapter of silence alone stays as it is."""
+    cut = trim_silence(x, rate) if trim else x
+    cut = cut if len(cut) else x
+    cut = cut if loudness is None else normalize_level(cut, loudness)
+    return (cut, rate) if new_rate in (None, rate) else (resample(cut, rate, new_rate), new_rate)
+
+
+def joined_wav(parts: DataFrame, keys: list[str], order: str, trim: bool = False, loudness: float | None = None, new_rate: int | None = None) -> DataFrame:
+    """parts (keys, order, content) -> one WAV per key group, in order, with
+    what finished() does.  The group is one chapter; its size is that of its audio."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         pieces = [samples(c) for c in pdf["content"]]
         rate = pieces[0][1]
         x = np.concatenate([p if r == rate else resample(p, r, rate) for p, r in pieces])
+        x, rate = finished(x, rate, trim, loudness, new_rate)
         return pd.DataFrame([(*(pdf[k].iloc[0] for k in keys), wav_bytes(x, rate), len(x) / rate)], columns=[*keys, "content", "duration_seconds"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema if f.name in keys) + ", content binary, duration_seconds double"

@@ -162,3 +162,8 @@ def read_books(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     columns = ["book_id", "title", "author", "language"]
     books = plain.select(*columns).unionByName(packed.select(*columns))
     return books, ch.text_chapters(plain).unionByName(epub_chapters(packed))
+
+
+def covers(spark: SparkSession, path: str) -> DataFrame:
+    """book_id, name, cover_ext, cover (bytes) of the packed books at a path."""
+    return epub_covers(epub_books(files(spark, path)))

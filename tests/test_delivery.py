@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import random
+import sys
 import zipfile
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -210,6 +213,92 @@ def test_command_line(spark, tmp_path, capsys):
     assert e.value.code == 2
 
 
+TALE = 'Chapter 1: Start\n\nIt was 1984. "Go!" she shouted.\n\nChapter 2\n\nThe end came.\n'
+
+
+def tool(tmp_path, monkeypatch):
+    """A stand-in for the encoder: writes its arguments to the output."""
+    folder = tmp_path / "bin"
+    folder.mkdir()
+    (folder / "ffmpeg").write_text('#!/bin/sh\nfor last; do :; done\necho "$@" > "$last"\n')
+    (folder / "ffmpeg").chmod(0o755)
+    monkeypatch.setenv("PATH", f"{folder}:{os.environ['PATH']}")
+
+
+def test_a_run_ends_in_a_book(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "tale.txt").write_text(TALE)
+    out, args = str(tmp_path / "out"), ["forge", str(tmp_path / "tale.txt"), "--output", str(tmp_path / "out"), "--title", "A/B", "--engine", "tone"]
+    assert cli.main(args, spark) == 0 and not (tmp_path / "out" / "A_B.m4b").exists()
+    parts = tmp_path / "out" / "books" / "A_B"
+    assert {p.name for p in parts.iterdir()} == {"chapter_0000.wav", "chapter_0001.wav", "list.txt", "metadata.txt"}
+    assert audio.samples((parts / "chapter_0000.wav").read_bytes())[1] == 22_050
+    assert cli.main(["status", out], spark) == 0 and "2/2 chunks, 2/2 chapters, 100.0%" in capsys.readouterr().out
+    tool(tmp_path, monkeypatch)
+    assert cli.main(args, spark) == 0
+    said = (tmp_path / "out" / "A_B.m4b").read_text()
+    assert "-c:a aac -b:a 64k" in said and "stik=2" in said
+    (tmp_path / "out" / "A_B.m4b").write_text("kept")
+    assert cli.main(args, spark) == 0 and (tmp_path / "out" / "A_B.m4b").read_text() == "kept"
+    assert "already assembled" in (tmp_path / "out" / "lectern.log").read_text()
+
+
+def test_a_failing_chapter_is_skipped(spark, tmp_path, monkeypatch):
+    class Broken(engines.ToneEngine):
+        def synthesize(self, text, emotion, intensity, speed):
+            return np.array(["no sound"], object) if "end" in text else super().synthesize(text, emotion, intensity, speed)
+
+    class Absent(engines.ToneEngine):
+        def initialize(self):
+            raise RuntimeError("no model")
+
+    (tmp_path / "tale.txt").write_text(TALE)
+    monkeypatch.setitem(engines.ENGINES, "broken", Broken)
+    monkeypatch.setitem(engines.ENGINES, "absent", Absent)
+    out = str(tmp_path / "out")
+    assert cli.main(["forge", str(tmp_path / "tale.txt"), "--output", out, "--engine", "broken"], spark) == 0
+    assert [r["chapter_index"] for r in spark.read.parquet(f"{out}/chapters").collect()] == [0]
+    assert cli.main(["forge", str(tmp_path / "tale.txt"), "--output", out, "--engine", "absent"], spark) == 1
+
+
+def test_forge_validates_with_a_transcriber(spark, tmp_path, monkeypatch, capsys):
+    (tmp_path / "tale.txt").write_text(TALE)
+    out, seen = str(tmp_path / "out"), []
+    monkeypatch.setitem(engines.TRANSCRIBERS, "fixed", lambda model: (seen.append(model), lambda: lambda content: "The end came.")[1])
+    assert cli.main(["forge", str(tmp_path / "tale.txt"), "--output", out, "--validate", "--whisper-model", "small"], spark) == 0
+    said = capsys.readouterr().out
+    assert seen == ["small"] and "Whisper model: small" in said and "1 / 2 chapters" in said
+    assert len(list((tmp_path / "out" / "transcripts").glob("book_id=*/chapter_index=*"))) == 2
+
+
+def test_voice_reaches_its_engine():
+    assert engines.get_engine("speech_api", "nova").voice == "nova" and engines.get_engine("tagged", "me.wav").reference == "me.wav"
+    assert engines.get_engine("tone", "nova").name == "tone"
+
+
+def test_covers_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, b"b"), (0, b"a")], "chapter_index int, content binary")
+    paths = container.write_book(rows, str(tmp_path / "b"), ("jpg", b"picture"))
+    assert [Path(p).read_bytes() for p in paths] == [b"a", b"b"] and (tmp_path / "b" / "coverjpg").read_bytes() == b"picture"
+
+
+def test_post_processing_commands(monkeypatch):
+    assert container.trim_command("a", "b")[4:6] == ["-af", "silenceremove=start_periods=1:start_silence=0.5:start_threshold=-40.0dB,areverse,silenceremove=start_periods=1:start_silence=0.5:start_threshold=-40.0dB,areverse"]
+    seen = []
+    monkeypatch.setattr(container, "run", lambda command: (seen.append(command), 'x {"input_i": "-30", "target_offset": "0.5"} y')[1])
+    monkeypatch.setattr(Path, "unlink", lambda self: None)
+    assert container.post_process("in.wav", "out.wav", rate=22_050) == "out.wav"
+    assert [c[-1] for c in seen] == ["out.step0.wav", "-", "out.step1.wav", "out.wav"] and "measured_I=-30.0" in seen[2][-2] and "offset=0.5" in seen[2][-2]
+    assert [c[c.index("-i") + 1] for c in seen] == ["in.wav", "out.step0.wav", "out.step0.wav", "out.step1.wav"]
+
+
+def test_settings_that_cannot_be_read(monkeypatch):
+    monkeypatch.setitem(sys.modules, "yaml", None)
+    assert config.parse_yaml("a:\n  b: 'x # y'  # note\n  c: -2.5\nd: http://h/a#b # c\n") == {"a": {"b": "x # y", "c": -2.5}, "d": "http://h/a#b"}
+    for bad in ("a:\n  - 1", "a: |\n  x", "a: [1]", "no pair"):
+        with pytest.raises(ValueError, match="cannot read"):
+            config.parse_yaml(bad)
+
+
 def test_refined_annotation(spark):
     chapters = spark.createDataFrame([("b", 0, '"Go away," he said. Fine. It was calm.')], "book_id string, chapter_index int, text string")
     settings = config.Settings(engine="tagged", emotion=config.Emotion(enabled=True, mode="llm"))
