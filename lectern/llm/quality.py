@@ -8,7 +8,7 @@ expression over the statistics.
 
 Cases: null or empty text has all statistics 0 and is scored like any other
 row; rows with null labels are not learnt from; ids occurring more than once
-are scored row by row; without labelled rows of both classes the model is the
+are scored row by row and learnt from once (see ``labelled``); without labelled rows of both classes the model is the
 constant prior 0.5; an empty table gives an empty result.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import textnum as tn
-from lectern.llm.common import fold, frugal, held_out
+from lectern.llm.common import frugal, held_out, labelled
 
 #: Labelled rows that the fit uses, taken in the order of a hash of the id.
 MAX_LABELLED = 20_000
@@ -103,13 +103,14 @@ def measure(column: pa.Array) -> np.ndarray:
 PREFIX = "lectern_stat_"
 
 
-def statistics(docs: DataFrame, keep: bool = False) -> DataFrame:
+def statistics(docs: DataFrame, keep: bool = False, text: bool = True) -> DataFrame:
     """doc_id and one double column for each of STATS, one row per document;
-    with ``keep`` all columns of docs and the statistics under PREFIX."""
+    with ``keep`` all columns of docs, less the text if not wanted, and the
+    statistics under PREFIX."""
     docs = frugal(docs)
     if not keep:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    names = list(docs.columns) if keep else ["doc_id"]
+    names = [c for c in docs.columns if text or c != "text"] if keep else ["doc_id"]
     prefix = PREFIX if keep else ""
 
     def run(batches):
@@ -211,13 +212,10 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> RuleModel:
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, folds: int = 4, test_fold: int = 2) -> RuleModel:
     """Learns from at most ``limit`` labelled rows outside the test fold."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-    rows = rows.filter(F.col("label").isNotNull() & (fold("doc_id", folds) != test_fold)).dropDuplicates(["doc_id"])
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    got = statistics(ids.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id")
-    pdf = got.orderBy("doc_id", *STATS).toPandas()
-    return fit_rules(pdf[list(STATS)].to_numpy(float), pdf["label"].to_numpy(float))
+    own = labelled(docs, labels, "quality", limit, folds, test_fold)
+    got = statistics(own.select("doc_id", "label", "text"), keep=True, text=False)
+    pdf = got.orderBy("doc_id").toPandas()
+    return fit_rules(pdf[[PREFIX + s for s in STATS]].to_numpy(float), pdf["label"].to_numpy(float))
 
 
 def classify(docs: DataFrame, model: RuleModel, threshold: float = 0.7, folds: int = 4, test_fold: int = 2) -> DataFrame:

@@ -8,7 +8,8 @@ leaves few weights non-zero; those go to the workers, at most ``2**BITS`` of
 them.
 
 Cases: null and empty texts have no features and get the bias' probability;
-null labels are not learnt from; repeated rows are scored row by row; without
+null labels are not learnt from; repeated rows are scored row by row and learnt
+from once (see ``labelled``); without
 labelled rows the score is 0.5; an empty table gives an empty result.
 """
 
@@ -19,14 +20,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm import store
 from lectern.llm import textnum as tn
-from lectern.llm.common import fold, frugal, held_out
+from lectern.llm.common import frugal, held_out, labelled
 
 #: Labelled rows that the fit uses, taken in the order of a hash of the id.
 MAX_LABELLED = 8_000
+#: Bytes of their features, four each; rows beyond are not learnt from.
+MAX_BYTES = 256 << 20
 BITS = 20
 #: Stems of words in bytes: the same insult with another ending is one feature.
 STEMS = (4, 5, 6, 7, 8)
@@ -88,10 +92,6 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> SparseW
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, folds: int = 4, test_fold: int = 2) -> SparseWeights:
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
-    rows = rows.filter(F.col("label").isNotNull() & (fold("doc_id", folds) != test_fold)).dropDuplicates(["doc_id"])
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-
     def run(batches):
         for piece in tn.pieces(batches):
             f, doc = features(piece.column("text"))
@@ -100,8 +100,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, folds: in
             own = (tagged & ((1 << BITS) - 1)).astype("<u4")
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("label"), pa.array([own[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["doc_id", "label", "features"])
 
-    own = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = own.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, label int, features binary").toArrow()
+    own = labelled(frugal(docs), labels, "toxic", limit, folds, test_fold)
+    got = store.table(own.mapInArrow(run, "doc_id long, label int, features binary"), "features")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # of at most ``limit`` rows
+    fits = got.withColumn("sofar", F.sum(F.octet_length("features")).over(order)).filter(F.col("sofar") <= MAX_BYTES)
+    got = fits.drop("sofar").toArrow()
     order = pa.compute.sort_indices(got, [("doc_id", "ascending"), ("features", "ascending")]).to_numpy()
     rows_of = [np.frombuffer(got["features"][int(i)].as_py(), "<u4").astype(np.int64) for i in order]
     return ftrl(rows_of, got["label"].to_numpy()[order].astype(float))
