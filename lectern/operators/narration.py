@@ -69,25 +69,26 @@ def guard(sentences: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B
 def assign_chunks(sentences: DataFrame, max_chars: int = CHUNK_CHARS) -> DataFrame:
     """Adds chunk_index: sentences in order, joined by a space, up to
     max_chars; a paragraph's end closes a chunk of two sentences or more that
-    is at least half full.  A fold over the chapter's array."""
+    is at least half full.  A fold over the chapter's array that keeps the
+    places where chunks start."""
     columns = [c for c in sentences.columns if c not in CHAPTER]
     rows = F.sort_array(F.collect_list(F.struct("sentence_index", *[c for c in columns if c != "sentence_index"])))
     packed = sentences.groupBy(*CHAPTER).agg(rows.alias("rows"))
-    start = F.expr("named_struct('ids', cast(array() as array<int>), 'cid', 0, 'chars', 0L, 'open', false)")
+    start = F.expr("named_struct('starts', cast(array() as array<int>), 'at', 0, 'chars', 0L, 'open', false)")
 
     def step(state, row):
         size = F.length(row["text"]).cast("long")
         longer = state["chars"] + 1 + size
-        flush = state["open"] & (longer > max_chars)
-        fresh = ~state["open"] | flush
-        cid = state["cid"] + flush.cast("int")
+        fresh = ~state["open"] | (longer > max_chars)
         close = ~fresh & row["is_paragraph_end"] & (longer >= max_chars // 2)
         return F.struct(
-            F.concat(state["ids"], F.array(cid)).alias("ids"), (cid + close.cast("int")).alias("cid"),
+            F.when(fresh, F.concat(state["starts"], F.array(state["at"]))).otherwise(state["starts"]).alias("starts"), (state["at"] + 1).alias("at"),
             F.when(close, F.lit(0).cast("long")).when(fresh, size).otherwise(longer).alias("chars"), (~close).alias("open"),
         )
 
-    folded = packed.withColumn("ids", F.aggregate("rows", start, step)["ids"])
+    folded = packed.withColumn("starts", F.aggregate("rows", start, step)["starts"])
+    sizes = F.zip_with(F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("rows"))), "starts", lambda end, begin: end - begin)
+    folded = folded.withColumn("ids", F.flatten(F.transform(sizes, lambda n, k: F.array_repeat(k.cast("int"), n))))
     flat = folded.select(*CHAPTER, F.explode(F.arrays_zip("rows", "ids")).alias("z"))
     return flat.select(*CHAPTER, *[F.col(f"z.rows.{c}").alias(c) for c in columns], F.col("z.ids").alias("chunk_index"))
 
