@@ -52,6 +52,19 @@ def test_alignment_against_the_full_table():
         assert s + d + h == len(a) and s + i + h == len(b)
 
 
+def test_pairs_side_by_side():
+    """Tables shared by pairs of all lengths and bands give what each pair gives alone."""
+    rng, pairs = random.Random(7), []
+    for _ in range(120):
+        a = [rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 5, 60, 200]))]
+        b = [x for x in a if rng.random() > rng.choice([0, 0.1, 0.6])]
+        pairs.append((a, b + [rng.choice("xyz") for _ in range(rng.randrange(0, 40))]))
+    assert wer.align_many(pairs) == [wer.align(a, b) for a, b in pairs]
+    texts = [("".join(a), "".join(b)) for a, b in pairs]
+    assert wer.distance_many(texts) == [plain_distance(a, b) for a, b in texts]
+    assert all(s + d + i == plain_distance(a, b) for (s, d, i, _), (a, b) in zip(wer.align_many(pairs), pairs, strict=True))
+
+
 @pytest.mark.parametrize(
     ("reference", "hypothesis", "counts"),
     [("hello world", "hello world", (0, 0, 0, 2)), ("hello world", "hello duck", (1, 0, 0, 1)), ("the quick brown fox", "the brown fox", (0, 1, 0, 3)), ("hello world", "hello beautiful world", (0, 0, 1, 2))],
