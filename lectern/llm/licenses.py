@@ -160,11 +160,12 @@ def scan_words(h: np.ndarray, index: Index, triples: np.ndarray | None = None) -
             if matched >= COVERAGE * len(index.words[t]):
                 found.append((int(t), int(matched), int(a), int(b)))
                 tried.insert(at, v)
-    kept: list[tuple[int, int, int, int]] = []
+    kept: list[tuple[int, int, int, int]] = []  # in the order of their places, which do not overlap
     for f in sorted(found, key=lambda f: (-f[1], f[2], index.names[f[0]])):
-        if all(f[3] <= k[2] or f[2] >= k[3] for k in kept):
-            kept.append(f)
-    return sorted(kept, key=lambda f: f[2])
+        at = bisect.bisect(kept, f[2], key=lambda k: k[2])
+        if (at == 0 or kept[at - 1][3] <= f[2]) and (at == len(kept) or f[3] <= kept[at][2]):
+            kept.insert(at, f)
+    return kept
 
 
 _DDL = "doc_id long, license string, coverage double, matched_words long, start long, end long"
@@ -184,14 +185,13 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None) -> DataFra
             hit = np.zeros(len(h) + 1, np.int64)
             np.cumsum(np.isin(triples, index.keys), out=hit[1 : len(triples) + 1])
             hit[len(triples) + 1 :] = hit[len(triples)]
-            rows = []
+            rows, chars = [], np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
             for d in np.flatnonzero(hit[words.first[1:]] > hit[words.first[:-1]]).tolist():
                 a, b = words.first[d], words.first[d + 1]
-                begin = words.offsets[d]
+                begin = chars[words.offsets[d]]
                 for t, matched, x, y in scan_words(h[a:b], index):
                     lo, hi = words.bare_start[a + x], words.bare_end[a + y - 1]
-                    chars = [len(words.data[begin:z].tobytes().decode()) for z in (lo, hi)]
-                    rows.append((piece.column("doc_id")[d].as_py(), index.names[t], matched / len(index.words[t]), matched, *chars))
+                    rows.append((piece.column("doc_id")[d].as_py(), index.names[t], matched / len(index.words[t]), matched, int(chars[lo] - begin), int(chars[hi] - begin)))
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [c.split()[0] for c in _DDL.split(", ")])
 

@@ -30,3 +30,11 @@ def test_short_notices_with_a_word_changed():
 def test_published_under_mit():
     found = licenses.scan_words(words("Published under the MIT License"), licenses.Index(licenses.TEMPLATES))
     assert found and found[0][1] == 4
+
+
+def test_places_are_characters_among_many_notices(spark):
+    """Every notice of a text full of them, at its place in characters."""
+    notice = "Released under the MIT License"
+    text = "".join(f"é日本 ü{i} {notice}. " for i in range(300))
+    got = sorted((r["start"], r["end"]) for r in licenses.scan(cases.made(spark, [(1, "ß " + text), (2, text)])).filter("doc_id = 2 and license = 'mit-line'").collect())
+    assert len(got) == 300 and all(text[a:b] == notice for a, b in got)
