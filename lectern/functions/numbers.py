@@ -39,32 +39,31 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def _in_words(n: int) -> str:
-    low = "" if n % 100 == 0 else ONES[n % 100] if n % 100 < 20 else TENS[n // 10 % 10] + ("-" + ONES[n % 10] if n % 10 else "")
-    return " ".join(x for x in (ONES[n // 100] + " hundred" if n >= 100 else "", low) if x)
-
-
-#: Words of 0..999 by the rule; 0 is empty.
-HUNDREDS = tuple(map(_in_words, range(1000)))
+#: Words of 0..99 by the rule; 0 is empty.  Short, since a plan holds it once for every use.
+BELOW_HUNDRED = ONES + tuple(ten + ("-" + one if one else "") for ten in TENS[2:] for one in ONES[:10])
 
 
 def below_thousand(n: Column) -> Column:
     """Words of 1..999; the empty string for 0."""
-    return _pick(HUNDREDS, n)
+    hundred = F.when(n >= 100, F.concat(_pick(ONES[:10], _whole(n, 100)), F.lit(" hundred")))
+    return F.concat_ws(" ", hundred, F.when(n % 100 > 0, _pick(BELOW_HUNDRED, n % 100)))
 
 
 def cardinal(n: Column) -> Column:
     """Words of a non-negative whole number below 10**18; above 10**9 the
     count of billions is itself in words, "one thousand billion"."""
 
-    def grouped(value: Column) -> list[Column]:
-        scaled = [(F.pmod(_whole(value, 1000**i), F.lit(1000)), SCALES[i]) for i in (2, 1, 0)]
-        return [F.when(g > 0, F.concat(below_thousand(g), F.lit(scale))) for g, scale in scaled]
+    def scaled(words: Column, at: int) -> list[Column]:
+        parts = [F.element_at(words, at + i) for i in (0, 1, 2)]
+        return [F.when(part != "", F.concat(part, F.lit(scale))) for part, scale in zip(parts, SCALES[2::-1], strict=True)]
+
+    def joined(words: Column) -> Column:
+        billions = let(F.concat_ws(" ", *scaled(words, 1)), lambda b: F.when(b != "", F.concat(b, F.lit(SCALES[3]))))
+        return F.concat_ws(" ", billions, *scaled(words, 4))
 
     def words(v: Column) -> Column:
-        small = F.concat_ws(" ", *grouped(v))
-        large = let(_whole(v, 10**9), lambda b: F.concat_ws(" ", F.concat(F.concat_ws(" ", *grouped(b)), F.lit(SCALES[3])), *grouped(v % (10**9))))
-        return F.when(v == 0, F.lit("zero")).when(v < 10**9, small).otherwise(large)
+        groups = F.array(*[_whole(v, 1000**i) % 1000 for i in (5, 4, 3, 2, 1, 0)])
+        return F.when(v == 0, F.lit("zero")).otherwise(let(F.transform(groups, below_thousand), joined))
 
     return let(n.cast("long"), words)
 
@@ -105,7 +104,7 @@ def decimal(value: Column, strict: bool = False) -> Column:
 
     def said(v: Column) -> Column:
         digits = lambda: F.array_join(F.transform(F.split(F.split_part(v, F.lit("."), F.lit(2)), ""), lambda d: _pick(("zero" if strict else "", *ONES[1:10]), d.cast("int"))), " ")
-        both = lambda w: F.when((w == "") | (F.length(w) > MAX_DIGITS), v).when(F.instr(v, ".") > 0, F.concat(cardinal(w), F.lit(" point "), digits())).otherwise(cardinal(w))
+        both = lambda w: F.when((w == "") | (F.length(w) > MAX_DIGITS), v).otherwise(F.concat(cardinal(w), F.when(F.instr(v, ".") > 0, F.concat(F.lit(" point "), digits())).otherwise(F.lit(""))))
         return let(F.split_part(v, F.lit("."), F.lit(1)), both)
 
     return let(value, said)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -45,7 +46,13 @@ NO_END = (
 
 def strip(text: Column) -> Column:
     """Without white space at both ends, of any kind."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(F.rlike(ends, F.lit(f"[{SPACE}]")), F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")).otherwise(text)
+
+
+#: A character that NFC may change, or that may join the one before it: none of Latin,
+#: most punctuation, Cyrillic letters, kana, Han, Hangul.  The first class is the fast one.
+MAY_CHANGE = r"[^\x00-\u02FF](?<![\u0400-\u0482\u048A-\u052F\u2010-\u2027\u2030-\u205E\u3001-\u3029\u3041-\u3096\u30A0-\u30FF\u4E00-\u9FFF\uAC00-\uD7A3])"
 
 
 @F.pandas_udf(T.StringType())
@@ -54,35 +61,79 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Unicode NFC; only texts with other than ASCII leave the JVM."""
-    return F.coalesce(_nfc(F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), text)), text)
+    """Unicode NFC; only texts that it may change leave the JVM."""
+    return F.coalesce(_nfc(F.when(F.rlike(text, F.lit(MAY_CHANGE)), text)), text)
+
+
+def _where(test: Column, text: Column, change: Callable[[Column], Column]) -> Column:
+    """change(text) where the test, a cheaper search, says that it may differ."""
+    return F.when(test, change(text)).otherwise(text)
+
+
+#: Characters that become plain quotes, then those that go.
+_QUOTES, _UNSEEN = "\u2018\u2019\u2032\u201c\u201d\u201e\u201f\u2033", "\u200b\u200c\u200d\u2060\ufeff\u00ad"
+
+
+def mark_passes() -> list[Callable[[Column], Column]]:
+    """The steps of plain_marks, in their order; each searches first for what it changes."""
+
+    def replaced(test: Callable[[Column], Column], pattern: str, words: str) -> Callable[[Column], Column]:
+        return lambda text: _where(test(text), text, lambda t: F.regexp_replace(t, pattern, words))
+
+    def has(*marks: str) -> Callable[[Column], Column]:
+        return lambda text: F.contains(text, F.lit(marks[0])) if len(marks) == 1 else F.contains(text, F.lit(marks[0])) | F.contains(text, F.lit(marks[1]))
+
+    return [
+        lambda text: _where(F.rlike(text, F.lit(rf"[^\x00-\x7F](?<=[{_QUOTES}{_UNSEEN}])")), text, lambda t: F.translate(t, _QUOTES + _UNSEEN, "'''\"\"\"\"\"")),
+        replaced(has("\u2013", "\u2014"), f"[{SPACE}]*[\u2013\u2014][{SPACE}]*", " \u2014 "),
+        replaced(has("--"), f"[{SPACE}]*--[{SPACE}]*", " \u2014 "),
+        lambda text: F.replace(text, F.lit("\u2026"), F.lit("...")),
+        replaced(has("...."), r"\.{4,}", "..."),
+        lambda text: F.regexp_replace(text, rf"\.[{SPACE}]\.[{SPACE}]\.", "..."),
+    ]
 
 
 def plain_marks(text: Column) -> Column:
     """No invisible characters; straight quotes, spaced dashes, three dots."""
-    text = F.translate(text, "\u2018\u2019\u2032\u201c\u201d\u201e\u201f\u2033\u200b\u200c\u200d\u2060\ufeff\u00ad", "'''\"\"\"\"\"")
-    for pattern in ("[\u2013\u2014]", "--"):
-        text = F.regexp_replace(text, f"[{SPACE}]*{pattern}[{SPACE}]*", " \u2014 ")
-    text = F.replace(text, F.lit("\u2026"), F.lit("..."))
-    return F.regexp_replace(F.regexp_replace(text, r"\.{4,}", "..."), rf"\.[{SPACE}]\.[{SPACE}]\.", "...")
+    for change in mark_passes():
+        text = change(text)
+    return text
 
 
-#: Any of the abbreviations, so that most texts need one search, not one for each.
-_SOME_ABBREVIATION = "(?:" + "|".join(short for short, _ in TITLES) + r")\.|(?i)\b(?:" + "|".join(pattern for pattern, _ in ABBREVIATIONS) + ")"
+#: Any of the abbreviations, titles first; letters and a full stop are asked for before the list is tried.
+_ABBREVIATION = r"(?=[A-Za-z]{1,6}\.)(?:(?:" + "|".join(short for short, _ in TITLES) + r")\.|(?i:\b(?:" + "|".join(pattern for pattern, _ in ABBREVIATIONS) + ")))"
+#: A full stop after one: the search that most texts end with looks back from full stops only.
+_ABBREVIATED = r"\.(?<=(?:" + "|".join(short for short, _ in TITLES) + r")\.|\b(?i:" + "|".join(pattern.split(r"\s")[0] for pattern, _ in ABBREVIATIONS) + "))"
+
+
+def _spelled() -> tuple[Column, Column]:
+    """Words by title and by abbreviation in lower case."""
+    short = {}
+    for pattern, words in ABBREVIATIONS:
+        plain = pattern.split(r"\s")[0].replace("\\", "")
+        short |= {plain.replace("?", ""): words, re.sub(".[?]", "", plain): words}
+    pairs = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
+    return pairs({f"{title}.": words for title, words in TITLES}), pairs(short)
 
 
 def spell_abbreviations(text: Column) -> Column:
-    out = text
+    """Abbreviations in words, as if each were replaced in the order of the
+    tables: all at once, or one after the other where two of them touch, since
+    the words of the one then end the word boundary before the other."""
+    one_by_one = text
     for short, words in TITLES:
-        out = F.regexp_replace(out, rf"{short}\.", words)
+        one_by_one = F.regexp_replace(one_by_one, rf"{short}\.", words)
     for pattern, words in ABBREVIATIONS:
-        out = F.regexp_replace(out, rf"(?i)\b{pattern}", words)
-    return F.when(F.rlike(text, F.lit(_SOME_ABBREVIATION)), out).otherwise(text)
+        one_by_one = F.regexp_replace(one_by_one, rf"(?i)\b{pattern}", words)
+    titles, short = _spelled()
+    at_once = replace_each(text, _ABBREVIATION, lambda m: F.coalesce(F.try_element_at(titles, m), F.try_element_at(short, F.lower(F.regexp_extract(m, r"^\S+", 0)))))
+    touching = F.rlike(text, F.lit(rf"{_ABBREVIATED}\s*(?:{_ABBREVIATION})"))
+    return F.when(~F.rlike(text, F.lit(_ABBREVIATED)), text).when(touching, one_by_one).otherwise(at_once)
 
 
 def tidy_paragraphs(text: Column) -> Column:
     """One space between words, one blank line between paragraphs."""
-    one = F.transform(F.split(text, "\n\n"), lambda p: strip(F.replace(F.regexp_replace(p, r"[ \t]+", " "), F.lit("\n"), F.lit(" "))))
+    one = F.transform(F.split(text, "\n\n"), lambda p: strip(F.replace(F.regexp_replace(p, r"[ \t]{2,}|\t", " "), F.lit("\n"), F.lit(" "))))
     return F.array_join(F.filter(one, lambda p: p != ""), "\n\n")
 
 
@@ -90,13 +141,17 @@ def normalize(df: DataFrame, column: str = "text", numbers: bool = True, abbrevi
     """The column prepared for speech.  Every pass is a projection of its own,
     so that its input is computed once; texts without digits skip the number
     passes.  Null stays null."""
-    c = F.col(column)
-    df = df.withColumn(column, plain_marks(nfc(c)))
+    c, digits = F.col(column), "lectern_digits"
+    df = df.withColumn(column, nfc(c))
+    for change in mark_passes():
+        df = df.withColumn(column, change(c))
     if abbreviations:
         df = df.withColumn(column, spell_abbreviations(c))
     if numbers:
+        df = df.withColumn(digits, F.rlike(c, F.lit(r"\d")))
         for pattern, words in number_passes(strict):
-            df = df.withColumn(column, F.when(F.rlike(c, F.lit(r"\d")), replace_each(c, pattern, words)).otherwise(c))
+            df = df.withColumn(column, F.when(F.col(digits), replace_each(c, pattern, words)).otherwise(c))
+        df = df.drop(digits)
     return df.withColumn(column, tidy_paragraphs(c))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +67,30 @@ def test_marks_and_abbreviations(spark, raw, said):
     assert normal(spark, raw) == said
 
 
+def test_abbreviations_as_if_one_by_one(spark):
+    rng = random.Random(7)
+    parts = [f"{short}." for short, _ in text.TITLES] + "st. St. vs. etc. i.e. e.g. E.G. approx. dept. gov. GOV. max. min. no. No.5 vol. ch.3 fig. p.7 pp. 9 jan. sept. Sep. oct. ave. blvd. rd. sq.".split()
+    parts += [" ", " ", " ", "  ", "\n", ".", "5", "x", "xMr.", "A", "Éa", "_", "e", "word ", "end. Next "]
+    raw = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 7))) for _ in range(6000)]
+
+    def spelled(t):
+        for short, words in text.TITLES:
+            t = t.replace(f"{short}.", words)
+        for pattern, words in text.ABBREVIATIONS:
+            t = re.sub(rf"\b{pattern}", words, t, flags=re.IGNORECASE)
+        return t
+
+    rows = spark.createDataFrame([(t,) for t in raw], "t string").select("t", text.spell_abbreviations(F.col("t")).alias("s")).collect()
+    assert [(r.t, r.s) for r in rows] == [(t, spelled(t)) for t in raw]
+
+
+def test_texts_left_in_the_jvm_are_nfc(spark):
+    rng = random.Random(8)
+    raw = ["".join(chr(rng.choice([rng.randint(0x20, 0x24F), rng.randint(0x20, 0x52F), rng.randint(0x2000, 0x206F), rng.randint(0x3000, 0x30FF), rng.randint(0xABF0, 0xACFF), rng.randint(0x1100, 0x11FF)])) for _ in range(3)) for _ in range(30_000)]
+    rows = spark.createDataFrame([(t,) for t in raw], "t string").select("t", text.nfc(F.col("t")).alias("n")).collect()
+    assert [r.n for r in rows] == [unicodedata.normalize("NFC", r.t) for r in rows]
+
+
 def test_normalize_null_and_empty(spark):
     got = text.normalize(spark.createDataFrame([(None,), ("",)], "text string")).collect()
     assert [r[0] for r in got] == [None, ""]
