@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import logging
 import re
 import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +17,8 @@ from lectern.functions.numbers import number_passes, replace_each
 
 log = logging.getLogger(__name__)
 
+#: A column of normalize's own, while it works.
+DIGITS = "lectern_digits"
 #: White space as Unicode defines it, for a Java character class.
 SPACE = r"\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
@@ -137,22 +140,28 @@ def tidy_paragraphs(text: Column) -> Column:
     return F.array_join(F.filter(one, lambda p: p != ""), "\n\n")
 
 
+@functools.lru_cache(maxsize=16)
+def _passes(session: SparkSession, column: str, numbers: bool, abbreviations: bool, strict: bool) -> list[tuple[str, Column]]:
+    """(column, its new value) of every pass.  Thousands of small expressions:
+    a session makes them once, since that takes longer than a book's text."""
+    c, digits = F.col(column), F.col(DIGITS)
+    out = [nfc(c), *[change(c) for change in mark_passes()]]
+    if abbreviations:
+        out.append(spell_abbreviations(c))
+    passes = [(column, value) for value in out]
+    if numbers:
+        passes.append((DIGITS, F.rlike(c, F.lit(r"\d"))))
+        passes += [(column, F.when(digits, replace_each(c, pattern, words)).otherwise(c)) for pattern, words in number_passes(strict)]
+    return [*passes, (column, tidy_paragraphs(c))]
+
+
 def normalize(df: DataFrame, column: str = "text", numbers: bool = True, abbreviations: bool = True, strict: bool = False) -> DataFrame:
     """The column prepared for speech.  Every pass is a projection of its own,
     so that its input is computed once; texts without digits skip the number
     passes.  Null stays null."""
-    c, digits = F.col(column), "lectern_digits"
-    df = df.withColumn(column, nfc(c))
-    for change in mark_passes():
-        df = df.withColumn(column, change(c))
-    if abbreviations:
-        df = df.withColumn(column, spell_abbreviations(c))
-    if numbers:
-        df = df.withColumn(digits, F.rlike(c, F.lit(r"\d")))
-        for pattern, words in number_passes(strict):
-            df = df.withColumn(column, F.when(F.col(digits), replace_each(c, pattern, words)).otherwise(c))
-        df = df.drop(digits)
-    return df.withColumn(column, tidy_paragraphs(c))
+    for name, value in _passes(df.sparkSession, column, numbers, abbreviations, strict):
+        df = df.withColumn(name, value)
+    return df.drop(DIGITS)
 
 
 def sentences_of(paragraph: Column) -> Column:
