@@ -45,7 +45,12 @@ STRONG_WORDS = (
 )
 
 QUOTED = '"[^"\\n]{1,500}"|\u201c[^\u201d\\n]{1,500}\u201d'
-THOUGHT = rf"(?U)(?<!\w)'(?![{SPACE}])([^'\n]{{3,200}})(?<![{SPACE}])'(?!\w)"
+#: A letter, digit or _; a mark that combines is none.
+WORD = r"[\p{L}\p{N}_]"
+#: Edges of a word of ASCII letters, digits and _, whatever stands beside it.
+#: \b is not used: in Java up to 18 other letters count as part of a word.
+BEFORE, AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+THOUGHT = rf"(?U)(?<!{WORD})'(?![{SPACE}])([^'\n]{{3,200}})(?<![{SPACE}])'(?!{WORD})"
 ITALIC = r"_[^_\n]{1,200}_"
 
 
@@ -69,7 +74,7 @@ def _total_length(spans: Column) -> Column:
 
 def attribution_verb(text: Column) -> Column:
     """First verb of attribution in lower case, or the empty string."""
-    return F.lower(F.regexp_extract(text, r"(?i)\b(" + "|".join(ATTRIBUTION_VERBS) + r")\b", 1))
+    return F.lower(F.regexp_extract(text, f"(?i){BEFORE}(" + "|".join(ATTRIBUTION_VERBS) + f"){AFTER}", 1))
 
 
 def detect_dialogue(df: DataFrame, column: str = "text") -> DataFrame:
@@ -88,7 +93,7 @@ def detect_dialogue(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def caps_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\b[A-Z]{2,}\b"))
+    return F.regexp_count(text, F.lit(f"{BEFORE}[A-Z]{{2,}}{AFTER}"))
 
 
 def pause_ms(paragraph_end: Column, rules: Rules = Rules()) -> Column:  # noqa: B008
@@ -122,7 +127,7 @@ def plain_delivery(df: DataFrame) -> DataFrame:
 
 def needs_refinement(df: DataFrame, rules: Rules = Rules(), column: str = "text") -> Column:  # noqa: B008
     """Neutral dialogue, or a long enough sentence with a strong word."""
-    words = F.regexp_extract_all(F.lower(F.col(column)), F.lit(r"(?U)\b\w+\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.col(column)), F.lit(f"{WORD}+"), F.lit(0))
     strong = F.arrays_overlap(words, F.array(*[F.lit(w) for w in STRONG_WORDS]))
     return ((F.col("emotion") == "neutral") & F.col("contains_dialogue")) | ((F.length(column) > rules.min_refine_length) & strong)
 
