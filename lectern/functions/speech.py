@@ -44,13 +44,19 @@ STRONG_WORDS = (
     "horrified", "panic", "dread", "grief", "mourning", "bereavement", "betrayed", "humiliated", "ashamed",
 )
 
-QUOTED = '"[^"\\n]{1,500}"|\u201c[^\u201d\\n]{1,500}\u201d'
+#: Spans in straight quotes, and in curly ones.
+STRAIGHT, CURLY = '"[^"\\n]{1,500}"', "\u201c[^\u201d\\n]{1,500}\u201d"
 #: A letter, digit or _; a mark that combines is none.
-WORD = r"[\p{L}\p{N}_]"
+WORD = r"\p{L}\p{N}_"
 #: Edges of a word of ASCII letters, digits and _, whatever stands beside it.
 #: \b is not used: in Java up to 18 other letters count as part of a word.
 BEFORE, AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-THOUGHT = rf"(?U)(?<!{WORD})'(?![{SPACE}])([^'\n]{{3,200}})(?<![{SPACE}])'(?!{WORD})"
+#: The same where a word may begin or end with a long s or a Kelvin sign, which
+#: are an s and a k without regard to case; (?i) knows ASCII only.
+FIRST = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?=[\u017f\u212a]))"
+LAST = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<=[\u017f\u212a])(?=[A-Za-z0-9_]))"
+#: White space of ASCII without the vertical tab.
+ASCII_SPACE = r"\t\n\f\r "
 ITALIC = r"_[^_\n]{1,200}_"
 
 
@@ -73,16 +79,31 @@ def _total_length(spans: Column) -> Column:
 
 
 def attribution_verb(text: Column) -> Column:
-    """First verb of attribution in lower case, or the empty string."""
-    return F.lower(F.regexp_extract(text, f"(?i){BEFORE}(" + "|".join(ATTRIBUTION_VERBS) + f"){AFTER}", 1))
-
-
-def detect_dialogue(df: DataFrame, column: str = "text") -> DataFrame:
-    """Adds narration_mode, speaker, contains_dialogue, attribution_verb."""
+    """First verb of attribution in lower case, or the empty string.  Verbs
+    of one first letter are tried together, in their order."""
+    ends = {}
+    for verb in ATTRIBUTION_VERBS:
+        ends.setdefault(verb[0], []).append(verb[1:])
+    verbs = "|".join(f"{first}(?:{'|'.join(own)})" for first, own in ends.items()).replace("s", "[s\u017f]").replace("k", "[k\u212a]")
+    return F.lower(F.regexp_extract(text, f"(?i){FIRST}({verbs}){LAST}", 1))
+
+
+def thought(space: str) -> str:
+    """Pattern of a span in single quotes with no space inside them and no
+    word outside.  What stands outside is part of the match: a look behind
+    sees half of a letter beyond U+FFFF."""
+    return rf"(?U)(?:^|[^{WORD}])'([^{space}'][^'\n]{{1,198}}[^{space}'])'(?:[^{WORD}]|\z)"
+
+
+def detect_dialogue(df: DataFrame, column: str = "text", straight: bool = False) -> DataFrame:
+    """Adds narration_mode, speaker, contains_dialogue, attribution_verb.
+    straight: only straight double quotes hold dialogue, and beside single
+    ones only ASCII's white space counts as such."""
     text = F.col(column)
+    quoted, single = (STRAIGHT, thought(ASCII_SPACE)) if straight else (f"{STRAIGHT}|{CURLY}", thought(SPACE))
     df = df.withColumns({
-        "lectern_d": _total_length(F.regexp_extract_all(text, F.lit(QUOTED), F.lit(0))),
-        "lectern_t": _total_length(F.regexp_extract_all(text, F.lit(THOUGHT), F.lit(1))) + _total_length(F.regexp_extract_all(text, F.lit(ITALIC), F.lit(0))),
+        "lectern_d": _total_length(F.regexp_extract_all(text, F.lit(quoted), F.lit(0))),
+        "lectern_t": _total_length(F.regexp_extract_all(text, F.lit(single), F.lit(1))) + _total_length(F.regexp_extract_all(text, F.lit(ITALIC), F.lit(0))),
     })
     d, t, n = F.col("lectern_d"), F.col("lectern_t"), F.length(text)
     rest = n - d - t
@@ -127,7 +148,7 @@ def plain_delivery(df: DataFrame) -> DataFrame:
 
 def needs_refinement(df: DataFrame, rules: Rules = Rules(), column: str = "text") -> Column:  # noqa: B008
     """Neutral dialogue, or a long enough sentence with a strong word."""
-    words = F.regexp_extract_all(F.lower(F.col(column)), F.lit(f"{WORD}+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.col(column)), F.lit(f"[{WORD}]+"), F.lit(0))
     strong = F.arrays_overlap(words, F.array(*[F.lit(w) for w in STRONG_WORDS]))
     return ((F.col("emotion") == "neutral") & F.col("contains_dialogue")) | ((F.length(column) > rules.min_refine_length) & strong)
 

@@ -47,18 +47,18 @@ def guard(sentences: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B
     ``escalation`` from sentence to sentence, and at most ``emotional_share``
     percent of the sentences (one at least) keep an emotion, the strongest;
     of equals the later ones.  Adds intensity.  Sentences without an index
-    come last.
+    come last; of one index the weaker come first, then emotions in order.
 
     The rise has a closed form: the least of level_k - escalation * k over all
     sentences k so far, plus escalation * i.
     """
-    order = Window.partitionBy(*CHAPTER).orderBy(F.asc_nulls_last("sentence_index"))
+    order = Window.partitionBy(*CHAPTER).orderBy(F.asc_nulls_last("sentence_index"), "level", "emotion")
     place = F.row_number().over(order) - 1
     capped = sentences.withColumns({"lectern_i": place, "level": F.least("level", F.lit(rules.max_intensity))})
     step = F.col("level") - rules.escalation * F.col("lectern_i")
     capped = capped.withColumn("level", (F.min(step).over(order.rowsBetween(Window.unboundedPreceding, 0)) + rules.escalation * F.col("lectern_i")).cast("int"))
     loud = F.col("emotion") != "neutral"
-    rank = F.row_number().over(Window.partitionBy(*CHAPTER, loud).orderBy("level", F.asc_nulls_last("sentence_index")))
+    rank = F.row_number().over(Window.partitionBy(*CHAPTER, loud).orderBy("level", "lectern_i"))
     whole = Window.partitionBy(*CHAPTER)
     n, n_loud = F.count("*").over(whole), F.count_if(loud).over(whole)
     allowed = F.greatest(F.floor(n * rules.emotional_share / F.lit(100)), F.lit(1))
