@@ -175,10 +175,12 @@ def refinement_requests(sentences: DataFrame, wanted: Column, batch: int = BATCH
 def refinement_replies(replies: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
     """replies (book_id, chapter_index, reply) -> sentence_index, emotion,
     level.  Unknown emotions are neutral, items without an index and replies
-    that are no JSON list drop out, intensities stay within 0.1 and the
-    greatest."""
+    that are no JSON list drop out, of items of one index the last stands,
+    intensities stay within 0.1 and the greatest."""
     items = F.from_json(unfence(F.col("reply")), "array<struct<index:int,emotion:string,intensity:double>>", {"mode": "PERMISSIVE"})
-    out = replies.select("book_id", "chapter_index", F.explode(items).alias("i")).filter("i.index is not null")
+    later = F.slice("items", F.col("pos") + 2, F.size("items"))
+    out = replies.withColumn("items", items).select("book_id", "chapter_index", "items", F.posexplode("items").alias("pos", "i"))
+    out = out.filter(F.col("i.index").isNotNull() & ~F.coalesce(F.exists(later, lambda x: x["index"] == F.col("i.index")), F.lit(False)))
     level = F.greatest(F.lit(1000), F.least(F.lit(rules.max_intensity), F.round(F.coalesce("i.intensity", F.lit(0.3)) * 10000).cast("int")))
     emotion = F.lower(F.trim(F.coalesce("i.emotion", F.lit(""))))
     return out.select("book_id", "chapter_index", F.col("i.index").alias("sentence_index"), F.when(emotion.isin(*EMOTIONS), emotion).otherwise("neutral").alias("emotion"), level.alias("level"))

@@ -113,8 +113,10 @@ def annotation_metrics(sentences: DataFrame) -> DataFrame:
 
 def refine(sentences: DataFrame, replies: DataFrame) -> DataFrame:
     """Rule results overridden by replies (keys, sentence_index, emotion,
-    level) where these are not neutral."""
-    r = replies.select(*CHAPTER, "sentence_index", F.col("emotion").alias("lectern_e"), F.col("level").alias("lectern_l"))
+    level) where these are not neutral.  Of several such replies to one
+    sentence the greatest in (emotion, level) stands: none comes twice."""
+    r = replies.filter(F.col("emotion") != "neutral").groupBy(*CHAPTER, "sentence_index").agg(F.max(F.struct("emotion", "level")).alias("r"))
+    r = r.select(*CHAPTER, "sentence_index", F.col("r.emotion").alias("lectern_e"), F.col("r.level").alias("lectern_l"))
     own = sentences.join(r, [*CHAPTER, "sentence_index"], "left")
-    use = F.coalesce(F.col("lectern_e") != "neutral", F.lit(False))
+    use = F.col("lectern_e").isNotNull()
     return own.withColumns({"emotion": F.when(use, F.col("lectern_e")).otherwise(F.col("emotion")), "level": F.when(use, F.col("lectern_l")).otherwise(F.col("level"))}).drop("lectern_e", "lectern_l")

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lectern.operators import narration
+from lectern.operators import engines, narration
 from lectern.plans import registry
 from tests.test_oracles import NAMES, keyed
 
@@ -39,12 +39,26 @@ def check(spark, sf_dir, tmp_path_factory):
     return run
 
 
-@pytest.mark.parametrize("name", ["annotation_metrics"])
+@pytest.mark.parametrize("name", ["annotation_metrics", "refinement_merge"])
 @pytest.mark.parametrize("keys", [NO_NUMBER, BELOW_ZERO], ids=["no_number", "below_zero"])
 def test_keys(check, name, keys):
     check(name, keys)
 
 
+def test_merge_of_one_number(check):
+    check("refinement_merge", TWICE)
+
+
+def test_replies_of_one_index(spark):
+    """Of items of one index the last stands, and no sentence comes twice."""
+    reply = '[{"index": 1, "emotion": "sad", "intensity": 0.5}, {"index": 2, "emotion": "tense"}, {"index": 1, "emotion": "angry", "intensity": 0.4}, {"index": null}]'
+    replies = engines.refinement_replies(spark.createDataFrame([("b", 0, reply)], "book_id string, chapter_index int, reply string"))
+    assert sorted(tuple(r)[2:] for r in replies.collect()) == [(1, "angry", 4000), (2, "tense", 3000)]
+    own = spark.createDataFrame([("b", 0, i, "neutral", 3000) for i in range(3)], "book_id string, chapter_index int, sentence_index int, emotion string, level int")
+    found = narration.refine(own, replies.union(replies)).select("sentence_index", "emotion", "level")
+    assert sorted(tuple(r) for r in found.collect()) == [(0, "neutral", 3000), (1, "angry", 4000), (2, "tense", 3000)]
+
+
 def test_guard_of_one_index(spark):
     """The guardrails give the same rows in whatever order the sentences come."""
     rows = [("b", 0, i // 3, level, emotion) for i, (level, emotion) in enumerate([(7000, "sad"), (1000, "calm"), (7000, "excited"), (2000, "neutral"), (6500, "tense"), (1000, "neutral")] * 3)]
