@@ -54,7 +54,7 @@ def guard(sentences: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B
     """
     order = Window.partitionBy(*CHAPTER).orderBy(F.asc_nulls_last("sentence_index"), "level", "emotion")
     place = F.row_number().over(order) - 1
-    capped = sentences.withColumns({"lectern_i": place, "level": F.least("level", F.lit(rules.max_intensity))})
+    capped = sentences.withColumn("level", F.least("level", F.lit(rules.max_intensity))).withColumn("lectern_i", place)
     step = F.col("level") - rules.escalation * F.col("lectern_i")
     capped = capped.withColumn("level", (F.min(step).over(order.rowsBetween(Window.unboundedPreceding, 0)) + rules.escalation * F.col("lectern_i")).cast("int"))
     loud = F.col("emotion") != "neutral"

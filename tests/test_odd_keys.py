@@ -62,8 +62,11 @@ def test_replies_of_one_index(spark):
 def test_guard_of_one_index(spark):
     """The guardrails give the same rows in whatever order the sentences come."""
     rows = [("b", 0, i // 3, level, emotion) for i, (level, emotion) in enumerate([(7000, "sad"), (1000, "calm"), (7000, "excited"), (2000, "neutral"), (6500, "tense"), (1000, "neutral")] * 3)]
+    rows += [("c", 0, i // 2, level, emotion) for i, (level, emotion) in enumerate([(9000, "calm"), (8000, "sad"), (1000, "calm"), (1000, "sad"), (8000, "tense"), (9000, "excited")])]
     found = []
     for own in (rows, rows[::-1]):
         df = spark.createDataFrame(own, "book_id string, chapter_index int, sentence_index int, level int, emotion string").coalesce(1)
         found.append(sorted(tuple(r) for r in narration.guard(df).collect()))
     assert found[0] == found[1]
+    # all levels are capped before sentences of one index are put in order
+    assert [(r[2], r[4], r[3]) for r in found[0] if r[0] == "c" and r[2] == 2] == [(2, "neutral", 4000), (2, "tense", 7000)]
